@@ -87,7 +87,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
             cov = gap.T @ gap / n
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             corr = np.abs(cov / np.outer(sd, sd))
-            corr[corr < 0.1] = 0
+            corr[corr < max(0.25, 4 / np.sqrt(n))] = 0  # the rest is within the noise of so few rows
             discounts = 1 / np.maximum(1.0, corr.sum(axis=1))
         on, off = np.log(rates[:, 1] / rates[:, 0]), np.log((1 - rates[:, 1]) / (1 - rates[:, 0]))
         logit = np.log(prior / (1 - prior)) + votes @ ((on - off) * discounts) + (off * discounts).sum()
