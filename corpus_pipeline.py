@@ -29,15 +29,17 @@ def clean_of_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: the one whose doc_id names it (the least)."""
+    """One document of each group of near-duplicates: that with the least doc_id, of those that share it that with the least text hash."""
     found = common.stored(simhash.near_duplicates(docs), "groups")
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    kept = _without(docs, gone)
-    ids = found.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1")
-    if ids.isEmpty():
-        return kept
-    again = [c for c in docs.columns if c == "doc_id"]
-    return kept.dropDuplicates(again)
+    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.where(~named).select("doc_id", "text_hash")
+    # Ids may repeat: of several rows that name their group one stays.
+    several = common.stored(found.where(named).groupBy("group").agg(F.min("text_hash").alias("stays"), F.count("*").alias("rows")).where("rows > 1"), "several")
+    if several.isEmpty():
+        return _without(docs, gone)
+    others = found.where(named).join(several, "group").where("text_hash <> stays").select("doc_id", "text_hash")
+    marked = _without(docs, gone.unionByName(others)).withColumn("__hash", F.xxhash64("text"))
+    return marked.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +49,12 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them, whole."""
-    taken = mixing.mix(docs, whole=True).where("taken <> size or size = 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int").alias("__times"))
-    taken = taken.dropDuplicates(["__id", "__source", "__size"])
+    """The documents that the mix takes, as often as it takes them, whole; those without a word once. Rows equal in id, source and size alike."""
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
+    taken = mixing.mix(docs, whole=True).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max(times).alias("__times")).where("__times <> 1")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (common.word_count(F.col("text")) == F.col("__size"))
-    times = docs.join(taken, same, "left").withColumn("__times", F.coalesce("__times", F.lit(1)))
-    return times.where("__times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__nth")).select(*docs.columns)
+    rows = docs.join(taken, same, "left").withColumn("__times", F.coalesce("__times", F.lit(1)))
+    return rows.where("__times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__nth")).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
