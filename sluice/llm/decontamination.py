@@ -23,9 +23,13 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """A row's identity and text: its id, whether that is null, and 64 bits of its text, for ids that repeat."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64("text").alias("hash"), F.col("doc_id").isNull().alias("doc_null"), "text")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """A row's identity: its id, whether that is null, and 64 bits of its text, for ids that repeat."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64("text").alias("hash"), F.col("doc_id").isNull().alias("doc_null"), tokens(F.col("text")).alias("words"))
+    return _identified(docs).select(*KEY, tokens(F.col("text")).alias("words"))
 
 
 def windows(items: DataFrame, width: int) -> DataFrame:
@@ -46,8 +50,8 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def _ranked_terms(found: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
     """window, len, term, offset, nth: each window's words from the rarest in the corpus on; only windows whose words all occur."""
-    uses = postings.groupBy("term").agg(F.count("*").alias("uses"))
-    slots = found.select("window", "len", F.posexplode("words").alias("offset", "word")).join(terms, "word").join(uses, "term", "left")
+    uses = stored(postings.groupBy("term").agg(F.count("*").alias("uses")), "uses")
+    slots = found.select("window", "len", F.posexplode("words").alias("offset", "word")).join(small(terms), "word").join(small(uses), "term", "left")
     each = Window.partitionBy("window")
     slots = slots.withColumn("least", F.min(F.coalesce("uses", F.lit(0))).over(each)).where("least > 0")
     return stored(slots.withColumn("nth", F.row_number().over(each.orderBy("uses", "offset"))).select("window", "len", "term", "offset", "nth"), "slots")
@@ -71,7 +75,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = 10) -> tuple[
     lists = postings.join(small(second.select("term").distinct()), "term", "left_semi")
     both = others.join(lists, [*KEY, "term", "pos"], "left_semi").select(*KEY, "window", "len", "start")
     by_doc = both.unionByName(alone.select(*both.columns)).groupBy(*KEY).agg(F.collect_set(F.struct("start", "window", "len")).alias("at"))
-    there = _keyed(docs).join(by_doc, KEY).dropDuplicates(KEY)
+    # The join moves texts as they are; only those of candidates are cut into words again.
+    there = _identified(docs).join(by_doc, KEY).dropDuplicates(KEY).withColumn("words", tokens(F.col("text")))
     there = there.select(*KEY, F.explode(F.transform("at", lambda c: F.struct(c["window"].alias("window"), c["start"].alias("start"), F.slice("words", c["start"] + 1, c["len"]).alias("seen")))).alias("c")).select(*KEY, "c.*")
     known = found.select("window", "len", "words", "items")
     matches = there.join(small(known), "window").where(F.col("seen") == F.col("words")).select(*KEY, "start", "len", "items")
