@@ -11,6 +11,7 @@ from .common import small, stored, word_count
 
 #: Runs of the random order: about this many in all, so that none is large.
 RUNS = 16_384
+STRIDE = 128
 
 
 def targets(sources: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
@@ -54,8 +55,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     rows = rows.join(small(aims, n_sources), by).withColumn("run", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("runs") / F.lit(2**32)))
     # A run for each run_rows rows and one more for each source: the table of sums is bounded by RUNS plus the sources.
     runs = rows.groupBy(*by, "run").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy(*by).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(*by, "run", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("ahead"))
+    # Sums of the sums of STRIDE runs first, so that no task orders all runs of a source.
+    stride = F.floor(F.col("run") / STRIDE)
+    before = lambda order, *more: Window.partitionBy(*by, *more).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    strides = runs.groupBy(*by, stride.alias("stride")).agg(F.sum("words").alias("words"))
+    strides = strides.select(*by, "stride", F.coalesce(F.sum("words").over(before("stride")), F.lit(0)).alias("stride_ahead"))
+    runs = runs.withColumn("stride", stride).join(small(strides, n_sources + RUNS // STRIDE), [*by, "stride"])
+    runs = runs.select(*by, "run", (F.col("stride_ahead") + F.coalesce(F.sum("words").over(before("run", "stride")), F.lit(0))).alias("ahead"))
     within = Window.partitionBy(*by, "run").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(small(runs, n_sources + RUNS), [*by, "run"])
     rows = rows.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
