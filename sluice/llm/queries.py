@@ -25,7 +25,7 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash", "group")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,17 +210,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """doc_id, text_hash, fingerprint (16 lower-case hex digits) and component_id of each row of `docs` (doc_id, text).
+    """doc_id, text_hash, fingerprint (16 lower-case hex digits), component_id and group of each row of `docs` (doc_id, text).
 
     component_id is the least doc_id reachable over fingerprints at most `radius` bits apart, the row's own
     included. A null or empty text, or one of white space, has fingerprint zero and is linked like any other. Rows
     that repeat share a fingerprint and so a component. A null doc_id is never a component's name unless
-    the component has no other. Other columns are ignored; no rows give no rows."""
+    the component has no other; group, its least fingerprint, names it in any case. Other columns are ignored; no rows give no rows."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "prints")
     roots = components(links(prints.select("fp"), radius))
     named = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
-    names = named.where("root <> fp").select("root").distinct().join(named, "root").groupBy("root").agg(F.min("least").alias("component_id"))
-    members = named.join(names, "root", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id"))
+    linked = named.where("root <> fp")
+    # The names are aggregates, and a large component's members meet its name by broadcast.
+    names = linked.groupBy("root").agg(F.min("least").alias("others"), F.count("*").alias("members"))
+    names = stored(names.join(prints, names.root == prints.fp).select("root", F.least("others", "least").alias("component_id"), "members"), "names")
+    of_linked = split_join(linked.select("fp", "copies", "root"), names, "root", "members").select("fp", "copies", "component_id", "root")
+    of_roots = names.select(F.col("root").alias("fp"), "component_id").join(prints.select("fp", "copies"), "fp").select("fp", "copies", "component_id", F.col("fp").alias("root"))
+    alone = named.where("root = fp").join(names.select(F.col("root").alias("fp")), "fp", "left_anti").select("fp", "copies", F.col("least").alias("component_id"), "root")
+    members = of_linked.unionByName(of_roots).unionByName(alone)
     found = split_join(rows, stored(members, "members"), "fp", "copies")
-    return found.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.lower(F.lpad(F.hex("root"), 16, "0")).alias("group"))
