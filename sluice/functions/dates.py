@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +93,10 @@ def datetime_part(context, part: Val, d: Val) -> Val:
 @register("format_datetime")
 def format_datetime(context, d: Val, form: Val) -> Val:
     at, out = to_datetime(d), text(form)
+    if form.constant and form.lit:  # one pattern, with everything but the known letters quoted
+        parts = re.split("(yyyy|MM|dd|HH|mm|ss)", str(form.lit))
+        shown = "".join(x if i % 2 else "'" + x.replace("'", "''") + "'" if x else "" for i, x in enumerate(parts))
+        return Val(F.date_format(at, shown), "string")
     for name in ("yyyy", "MM", "dd", "HH", "mm", "ss"):
         out = F.replace(out, F.lit(name), F.date_format(at, name))
     return Val(F.when(at.isNotNull(), out), "string")

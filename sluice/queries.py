@@ -122,7 +122,7 @@ case("ipv4_fns", "nation", "source | extend ip = format_ipv4(n_nationkey * 16909
 case("text_fns", "part", "source | project p_partkey, u = toupper(p_name), n = strlen(p_name), s = substring(p_type, 1, 4), i = indexof(p_name, 'a'), r = replace(p_name, 'a', '_'), c = countof(p_name, 'e'), x = extract('([0-9]+)', 1, p_brand), v = reverse(p_type), t = trim('[A-Z]', p_type), z = strcat_delim('-', p_brand, p_size)",
      "SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substr(p_type, 2, 4) AS s, strpos(p_name, 'a') - 1 AS i, replace(p_name, 'a', '_') AS r, length(p_name) - length(replace(p_name, 'e', '')) AS c, nullif(regexp_extract(p_brand, '([0-9]+)', 1), '') AS x, reverse(p_type) AS v, regexp_replace(regexp_replace(p_type, '^([A-Z])+', ''), '([A-Z])+$', '') AS t, p_brand || '-' || p_size AS z FROM part")
 case("set_fns", "conversations", "source | summarize a = make_set(turn) by conv_id | extend b = pack_array(0, 1, 2, 9) | project conv_id, u = array_sum(set_union(a, b)), i = array_length(set_intersect(a, b)), d = array_length(set_difference(b, a)), f = array_index_of(array_sort_asc(a), 1)",
-     "SELECT conv_id, list_sum(list_distinct(list_concat(a, [0, 1, 2, 9]))) AS u, len(list_intersect(a, [0, 1, 2, 9])) AS i, len(list_filter([0, 1, 2, 9], lambda x: NOT list_contains(a, x))) AS d, coalesce(list_position(list_sort(a), 1) - 1, -1) AS f FROM (SELECT conv_id, list_distinct(list(turn)) AS a FROM conversations GROUP BY ALL)")
+     "SELECT conv_id, CAST(list_sum(list_distinct(list_concat(a, [0, 1, 2, 9]))) AS BIGINT) AS u, len(list_intersect(a, [0, 1, 2, 9])) AS i, len(list_filter([0, 1, 2, 9], lambda x: NOT list_contains(a, x))) AS d, coalesce(list_position(list_sort(a), 1) - 1, -1) AS f FROM (SELECT conv_id, list_distinct(list(turn)) AS a FROM conversations GROUP BY ALL)")
 case("url_fns", "pages", "source | extend u = parse_url(url) | project page_id, h = tostring(u.Host), p = tostring(u.Path), f = tostring(u.Fragment), e = url_encode_component(url), d = url_decode(url_encode(url))",
      "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS h, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '#(.*)$', 1) AS f, replace(replace(replace(replace(replace(replace(replace(url, '%', '%25'), ':', '%3A'), '/', '%2F'), '?', '%3F'), '=', '%3D'), '&', '%26'), '#', '%23') AS e, url AS d FROM pages")
 case("conditions", "customer", "source | project c_custkey, a = case(c_acctbal < 0, 'debt', c_acctbal < 1000, 'low', 'high'), b = coalesce(null, '', c_mktsegment), m = max_of(c_custkey, 100, 7), l = min_of(c_acctbal, 10), n = isnull(c_name), g = gettype(c_acctbal), t = tostring(c_nationkey), i = toint('12.9')",
