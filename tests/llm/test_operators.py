@@ -444,3 +444,19 @@ def test_languages(spark, docs, nothing):
     assert all(0 <= r.score <= 1 for r in got.values())
     assert language.languages(nothing).count() == 0
     assert language.languages(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_classes_stay_toxic_and_clean_beside_a_strong_other_split():
+    """Two languages whose toxic texts share no voter, and many voters of one of them that say nothing of toxicity in the other."""
+    rng = np.random.default_rng(1)
+    n = 3000
+    other, toxic = rng.random(n) < 0.4, rng.random(n) < 0.12
+    votes = np.zeros((n, 60))
+    votes[:, :10] = (toxic & ~other)[:, None] & (rng.random((n, 10)) < 0.4)
+    votes[:, 10:] = (toxic & other)[:, None] & (rng.random((n, 50)) < 0.5)
+    post = toxicity.label_model(votes, 0.05 + 0.9 * toxic, known=toxic.astype(float))[0]
+    fired = votes.any(axis=1)
+    assert ((post > 0.5) == toxic)[fired | ~toxic].all()
+    w = toxicity.linear(votes, post)
+    z = votes @ w[:-1] + w[-1]
+    assert (((z - toxicity._cut(z, post > 0.5)) > 0) == toxic)[fired | ~toxic].mean() > 0.995
