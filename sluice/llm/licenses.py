@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine of notices and licence files to templates, then inheritance from the nearest directory.
 
-A passage is a line that names a licence, with the lines around it up to the next blank one or change of subject; the whole text of a licence
-file is one more. Passages and templates are vectors of word weights; document frequencies count every file of the corpus. The
+A passage is a line that names a licence, alone and with the two lines after it; the whole text of a licence file is one more,
+in runs of PASSAGE words. Passages and templates are vectors of word weights; document frequencies count every file of the corpus. The
 cosine comes from a join on words with the few templates. A file without a licence of its own takes that of the
 nearest directory above it that holds a licence file, found by joining paths.
 """
