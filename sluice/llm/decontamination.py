@@ -44,7 +44,7 @@ def windows(items: DataFrame, width: int) -> DataFrame:
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings doc, hash, doc_null, term, pos of the words in `terms` (word, term), and of term -1 at each text's end."""
     every = F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "word")
-    vocabulary = terms.unionByName(terms.sparkSession.createDataFrame([("", -1)], "word string, term int"))
+    vocabulary = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(-1).alias("term")))
     return stored(_keyed(docs).select(*KEY, every).join(small(vocabulary), "word").select(*KEY, "term", "pos"), "postings")
 
 
