@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta, timezone
@@ -78,7 +79,7 @@ class Query:
         if df.isStreaming and not (scope == "record" and is_row_wise(self.tree)):
             raise KqlUnsupportedError("on a stream only record scope and operators that see one row at a time run as they are; use sluice.streaming.start")
         if scope == "record" and record_key is None and not df.isStreaming and uses_source_again(self.tree):
-            df = df.checkpoint()  # ids must be the same at each reading
+            df = _checkpointed(df)  # ids must be the same at each reading
         return self._lowered(df, scope, record_key).output(ordered)
 
     def _lowered(self, df: DataFrame, scope: str, record_key: str | None, dry: bool = False) -> Frame:
@@ -193,6 +194,14 @@ def function(name: str, returns: str = "dynamic"):
     return user_function(name, returns)
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the session's checkpoint folder; on one machine, if there is none, to a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
+    return df.checkpoint()
+
+
 # --- records to columns and back
 
 ORDINAL = "__ordinal"

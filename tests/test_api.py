@@ -66,6 +66,12 @@ def test_plans(spark):
     assert "BroadcastHashJoin" in plan(sluice.compile("let T = datatable(event_type:string, n:long)['purchase', 1]; source | lookup T on event_type").apply(events, "table"))
 
 
+def test_input_read_twice_without_a_key(spark):
+    query = sluice.compile("source | where value > 90 | as A | union A | summarize n = count() by event_id")
+    got = query.apply(spark.read.parquet(f"{DATA}/events.parquet").repartition(3))
+    assert {r.n for r in got.collect()} == {2}
+
+
 def test_tables_by_name(spark):
     read = lambda n: spark.read.parquet(f"{DATA}/{n}.parquet")
     query = sluice.compile("source | join kind=inner region on n_regionkey == r_regionkey | summarize n = count() by r_name", tables={"region": read("region")})
