@@ -312,6 +312,14 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
     assert r.s > r.b
 
 
+def test_narrow_contexts_where_wide_ones_are_too_many(spark, docs, monkeypatch):
+    wide = {(r.doc_id, r.n_tokens, r.n_known): r for r in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "ENTRIES", 100)
+    narrow = {(r.doc_id, r.n_tokens, r.n_known): r for r in lm.score(docs).collect()}
+    assert narrow.keys() == wide.keys() and all(abs(narrow[k].base_score - wide[k].base_score) < 1e-6 and narrow[k].score < 0 for k in wide)
+    assert any(narrow[k].score != wide[k].score for k in wide)
+
+
 def test_spellings_are_probabilities():
     """Over all next bytes, the probabilities after any context add up to one."""
     keys, n = np.unique(lm.spellings([w.encode() for w in WORDS] * 3)[0], return_counts=True)
