@@ -94,6 +94,13 @@ for _kind, _sql in {
     "rightsemi": f"SELECT * FROM {_RIGHT} SEMI JOIN {_LEFT} ON o_custkey = c_custkey", "rightanti": f"SELECT * FROM {_RIGHT} ANTI JOIN {_LEFT} ON o_custkey = c_custkey",
 }.items():
     case(f"join_{_kind}", "orders", f"source | where o_orderkey % 7 == 0 | project o_orderkey, o_custkey | join kind={_kind} customer on o_custkey == c_custkey", _sql, tables=("customer",))
+_ALL = "(SELECT o_orderkey, o_custkey FROM orders)"
+for _kind, _sql in {
+    "inner": f"SELECT * FROM {_ALL} JOIN {_RIGHT} ON o_custkey = c_custkey", "leftouter": f"SELECT * FROM {_ALL} LEFT JOIN {_RIGHT} ON o_custkey = c_custkey", "rightouter": f"SELECT * FROM {_ALL} RIGHT JOIN {_RIGHT} ON o_custkey = c_custkey",
+    "fullouter": f"SELECT * FROM {_ALL} FULL JOIN {_RIGHT} ON o_custkey = c_custkey", "leftsemi": f"SELECT * FROM {_ALL} SEMI JOIN {_RIGHT} ON o_custkey = c_custkey", "leftanti": f"SELECT * FROM {_ALL} ANTI JOIN {_RIGHT} ON o_custkey = c_custkey",
+    "rightsemi": f"SELECT * FROM {_RIGHT} SEMI JOIN {_ALL} ON o_custkey = c_custkey", "rightanti": f"SELECT * FROM {_RIGHT} ANTI JOIN {_ALL} ON o_custkey = c_custkey",
+}.items():
+    case(f"join_{_kind}_whole", "orders", f"source | project o_orderkey, o_custkey | join kind={_kind} customer on o_custkey == c_custkey", _sql, tables=("customer",))
 case("join_innerunique", "orders", "source | sort by o_orderkey asc | project o_orderkey, o_custkey | join nation on o_custkey == n_nationkey | project o_orderkey, n_name", "SELECT min(o_orderkey) AS o_orderkey, n_name FROM orders JOIN nation ON o_custkey = n_nationkey GROUP BY n_name", tables=("nation",))
 case("join_subquery", "lineitem", "source | summarize q = sum(l_quantity) by l_suppkey | join kind=inner (source | summarize n = count() by l_suppkey) on l_suppkey | project l_suppkey, q, n", "SELECT l_suppkey, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY ALL")
 case("union_outer", "nation", "source | project a = n_nationkey, b = n_name | union (source | where n_nationkey < 3 | project a = n_nationkey, c = n_regionkey)", "SELECT n_nationkey AS a, n_name AS b, NULL::INT AS c FROM nation UNION ALL SELECT n_nationkey, NULL, n_regionkey FROM nation WHERE n_nationkey < 3")
@@ -105,6 +112,7 @@ case("as_selfjoin", "nation", "source | as All | where n_nationkey < 5 | join ki
 # --- records
 case("summarize_record", "events", "source | summarize n = count() by event_id", "SELECT event_id, 1 AS n FROM events", "record", "event_id")
 case("mv_expand", "documents", "source | mv-expand with_itemindex=i w = split(text, ' ') limit 5 | project doc_id, i, w", "SELECT doc_id, g.i, w[g.i + 1] AS w FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents), (SELECT unnest(range(0, 5)) AS i) g WHERE g.i < len(w)", "record", "doc_id")
+case("mv_expand_whole", "documents", "source | mv-expand with_itemindex=i w = split(text, ' ') | project doc_id, i, w", "SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS w FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)", "record", "doc_id")
 case("mv_expand_summarize", "documents", "source | mv-expand w = split(text, ' ') | summarize n = count(), d = dcount(w) by doc_id", "SELECT doc_id, count(*) AS n, count(DISTINCT w) AS d FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY ALL", "record", "doc_id")
 case("mv_apply_top", "documents", "source | project doc_id, ws = split(text, ' ') | mv-apply w = ws on (extend l = strlen(w) | top 2 by l, w asc) | project doc_id, w, l", "SELECT doc_id, w, length(w) AS l FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w) <= 2", "record", "doc_id")
 case("mv_apply_fold", "embeddings", "source | mv-apply x = embedding on (summarize n = count(), hi = max(x), lo = min(x)) | project vec_id, n, hi = round(hi, 5), lo = round(lo, 5)", "SELECT vec_id, len(embedding) AS n, round(list_max(embedding)::DOUBLE, 5) AS hi, round(list_min(embedding)::DOUBLE, 5) AS lo FROM embeddings", "record", "vec_id")
@@ -115,6 +123,8 @@ case("datetime_fns", "orders", "source | project o_orderkey, y = getyear(o_order
      "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, dayofyear(o_orderdate) AS j, weekofyear(o_orderdate) AS w, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS s, strftime(date_trunc('year', o_orderdate) + INTERVAL 1 YEAR - INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS e, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH, '%Y-%m-%d') AS a, CAST(floor((epoch(o_orderdate) - epoch(TIMESTAMP '1992-01-01')) / 86400) AS BIGINT) AS x, month(o_orderdate) AS p, (epoch(o_orderdate) - epoch(TIMESTAMP '1992-01-01')) / 86400 AS o FROM orders")
 case("math_fns", "lineitem", "source | where l_orderkey < 200 | project l_orderkey, l_linenumber, f = floor(l_extendedprice), c = ceiling(l_extendedprice), b = bin(l_partkey, 10), s = sign(l_discount - 0.05), r = round(sqrt(l_quantity), 6), g = gcd(l_partkey, l_suppkey), l = lcm(l_linenumber, 6), p = pow(l_linenumber, 2), m = l_partkey % 7, n = -l_linenumber % 5",
      "SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS f, CAST(ceil(l_extendedprice) AS BIGINT) AS c, l_partkey // 10 * 10 AS b, CAST(sign(l_discount - 0.05::DOUBLE) AS BIGINT) AS s, round(sqrt(l_quantity), 6) AS r, gcd(l_partkey, l_suppkey) AS g, lcm(l_linenumber, 6) AS l, l_linenumber * l_linenumber AS p, l_partkey % 7 AS m, (5 - l_linenumber % 5) % 5 AS n FROM lineitem WHERE l_orderkey < 200")
+case("math_fns_whole", "lineitem", "source | project l_orderkey, l_linenumber, f = floor(l_extendedprice), c = ceiling(l_extendedprice), b = bin(l_partkey, 10), s = sign(l_discount - 0.05), r = round(sqrt(l_quantity), 6), g = gcd(l_partkey, l_suppkey), l = lcm(l_linenumber, 6), p = pow(l_linenumber, 2), m = l_partkey % 7, n = -l_linenumber % 5",
+     "SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS f, CAST(ceil(l_extendedprice) AS BIGINT) AS c, l_partkey // 10 * 10 AS b, CAST(sign(l_discount - 0.05::DOUBLE) AS BIGINT) AS s, round(sqrt(l_quantity), 6) AS r, gcd(l_partkey, l_suppkey) AS g, lcm(l_linenumber, 6) AS l, l_linenumber * l_linenumber AS p, l_partkey % 7 AS m, (5 - l_linenumber % 5) % 5 AS n FROM lineitem")
 case("hash_fns", "nation", "source | project n_nationkey, m = hash_md5(n_name), s = hash_sha1(n_name), h = hash_sha256(n_name), e = base64_encodestring(n_name), d = base64_decodestring(base64_encodestring(n_name))", "SELECT n_nationkey, md5(n_name) AS m, sha1(n_name) AS s, sha256(n_name) AS h, base64(encode(n_name)) AS e, n_name AS d FROM nation")
 case("bitwise_fns", "nation", "source | project k = n_nationkey, a = binary_and(n_nationkey, 6), o = binary_or(n_nationkey, 6), x = binary_xor(n_nationkey, 6), l = binary_shift_left(n_nationkey, 3), r = binary_shift_right(n_nationkey, 1), n = binary_not(n_nationkey), h = tohex(n_nationkey)", "SELECT n_nationkey AS k, n_nationkey & 6 AS a, n_nationkey | 6 AS o, xor(n_nationkey, 6) AS x, n_nationkey * 8 AS l, n_nationkey >> 1 AS r, -n_nationkey - 1 AS n, lower(printf('%x', n_nationkey)) AS h FROM nation")
 case("ipv4_fns", "nation", "source | extend ip = format_ipv4(n_nationkey * 16909060) | project k = n_nationkey, ip, v = parse_ipv4(ip), p = ipv4_is_private(ip), r = ipv4_is_in_range(ip, '16.0.0.0/5'), c = ipv4_compare(ip, '10.20.30.40')",
