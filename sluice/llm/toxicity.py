@@ -42,7 +42,7 @@ def features(text: str) -> set[str]:
 def patterns(text: str) -> list[bool]:
     """Whether each of PATTERNS holds: mostly capitals, many exclamation marks, many symbols."""
     n = max(1, len(text))
-    return [sum(map(str.isupper, text[:2000])) > 0.5 * min(n, 2000), text.count("!") > 0.02 * n, sum(text.count(c) for c in "#*$%&|<>") > 0.03 * n]
+    return [sum(map(str.isupper, text)) > 0.5 * n, text.count("!") > 0.02 * n, sum(text.count(c) for c in "#*$%&|<>") > 0.03 * n]
 
 
 @dataclass

@@ -468,3 +468,9 @@ def test_classes_stay_toxic_and_clean_beside_a_strong_other_split():
     w = toxicity.linear(votes, post)
     z = votes @ w[:-1] + w[-1]
     assert (((z - toxicity._cut(z, post > 0.5)) > 0) == toxic)[fired | ~toxic].mean() > 0.995
+
+
+def test_shouting_reads_the_whole_text():
+    """Capitals count wherever they stand: a calm head hides no shouting, and a loud head makes none."""
+    assert toxicity.patterns("a" * 2500 + "A" * 5000)[0] and not toxicity.patterns("A" * 1500 + "a" * 8000)[0]
+    assert toxicity.patterns("AAa")[0] and not toxicity.patterns("")[0]
