@@ -1,15 +1,14 @@
 """License scans: sparse TF-IDF cosine of notices and licence files to templates, then inheritance from the nearest directory.
 
 A passage is a line that names a licence, alone and with the two lines after it; the whole text of a licence file is one more,
-in runs of PASSAGE words. Passages and templates are vectors of word weights; document frequencies count every file of the corpus. The
+in runs of PASSAGE words. Passages and templates are vectors of word weights; document frequencies count every file of the corpus whose
+whole text has the word. The
 cosine comes from a join on words with the few templates. A file without a licence of its own takes that of the
 nearest directory above it that holds a licence file, found by joining paths.
 """
 
 from __future__ import annotations
 
-from math import log
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +63,15 @@ def passages(files: DataFrame) -> DataFrame:
     return rows.select("file", F.explode(runs).alias("words"))
 
 
+def frequencies(files: DataFrame) -> DataFrame:
+    """word, df: in how many of `files` (file, text) the whole text has the word. Rows that share a file count once."""
+    words = F.explode(F.array_distinct(_words(F.regexp_replace(F.coalesce("text", F.lit("")), r"<[^>\r\n]*>|&[a-z]+;", " ")))).alias("word")
+    shared = small(stored(files.groupBy("file").count().where("count > 1").select("file"), "shared-files"))
+    one = files.join(shared, "file", "left_anti").select(words)
+    more = files.join(shared, "file", "left_semi").select("file", words).distinct().select("word")
+    return one.unionByName(more).groupBy("word").agg(F.count("*").alias("df"))
+
+
 def scan(files: DataFrame) -> DataFrame:
     """file, own_license, own_cosine, license, inherited_from, depth of each row of `files` (file, path, text).
 
@@ -76,20 +84,17 @@ def scan(files: DataFrame) -> DataFrame:
     found = stored(passages(rows), "passages")
     corpus = rows.select("file").distinct().count()
     known = stored(templates(spark), "templates")
-    used = known.select(F.explode("words").alias("word")).distinct()
-    # Document frequencies of the templates' words over every file; words of no template weigh as if in no other file.
-    every = found.select("file", F.explode(F.array_distinct("words")).alias("word")).join(F.broadcast(used), "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
+    # Equal passages are compared once.
+    texts = stored(found.groupBy("words").agg(F.count("*").alias("uses")).withColumn("passage", F.xxhash64("words")), "texts")
+    used = known.select(F.explode("words").alias("word")).unionByName(texts.select(F.explode("words").alias("word"))).distinct()
     weight = F.log(F.lit(corpus + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    idf = stored(used.join(every, "word", "left").select("word", weight.alias("idf")), "idf")
-    unknown = log(corpus + 1) + 1
+    idf = small(stored(used.join(frequencies(rows), "word", "left").select("word", weight.alias("idf")), "idf"))
     vector = known.select("template", "license", F.explode("words").alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("tf")).join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
     norms = vector.groupBy("template").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     vector = stored(vector.join(norms, "template").select("word", "template", "license", (F.col("w") / F.col("norm")).alias("tw")), "vectors")
-    # Equal passages are compared once.
-    texts = stored(found.groupBy("words").agg(F.count("*").alias("uses")).withColumn("passage", F.xxhash64("words")), "texts")
-    parts = texts.select("passage", F.explode("words").alias("word")).groupBy("passage", "word").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    parts = texts.select("passage", F.explode("words").alias("word")).groupBy("passage", "word").agg(F.count("*").alias("tf")).join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
     length = parts.groupBy("passage").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    dots = parts.where("idf is not null").join(F.broadcast(vector), "word").groupBy("passage", "license", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    dots = parts.join(F.broadcast(vector), "word").groupBy("passage", "license", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     best = dots.join(length, "passage").select("passage", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).groupBy("passage").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license"))).alias("m")).select("passage", (-F.col("m.c")).alias("cosine"), "m.license").where(F.col("cosine") >= THRESHOLD)
     best = stored(best, "best")
     own = found.withColumn("passage", F.xxhash64("words")).join(small(best), "passage").groupBy("file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("m")).select("file", F.col("m.license").alias("own_license"), (-F.col("m.c")).alias("own_cosine"))
