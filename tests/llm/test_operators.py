@@ -473,12 +473,12 @@ def test_classes_stay_toxic_and_clean_beside_a_strong_other_split():
 def test_licenses_weigh_words_by_whole_texts(spark):
     """A word's document frequency counts all files, so common words beside a notice weigh little however large the corpus."""
     prose = [(f"p{i}", f"x/{i}", f"<b>this</b> software, see the file: it is for all of us, item {i}") for i in range(400)]
-    files = [("a", "y/a", "This software is released under the MIT License, see the LICENSE file."), *prose, prose[0], ("n", "y/n", None)]
+    files = [("a", "y/a", "This software is released under the MIT License, see the LICENSE file."), ("c", "y/c", "See this file for all of us: it is software released under the MIT License."), *prose, prose[0], ("n", "y/n", None)]
     df = spark.createDataFrame(files, "file string, path string, text string")
     found = {r.word: r.df for r in licenses.frequencies(df).collect()}
-    assert found["this"] == found["see"] == 401 and found["7"] == 1 and found["license"] == 1 and "b" not in found
-    got = {r.file: r.own_license for r in licenses.scan(df).where("file in ('a', 'p3', 'n')").collect()}
-    assert got == {"a": "MIT", "p3": None, "n": None}
+    assert found["this"] == found["see"] == 402 and found["7"] == 1 and found["license"] == 2 and "b" not in found
+    got = {r.file: r.own_license for r in licenses.scan(df).where("file in ('a', 'c', 'p3', 'n')").collect()}
+    assert got == {"a": "MIT", "c": "MIT", "p3": None, "n": None}
 
 
 def test_shouting_reads_the_whole_text():
