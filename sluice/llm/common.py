@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,14 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where a session names none (a test on one machine) is a temporary folder set."""
+    Only where a session on one machine names none (a test) is a temporary folder set; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="sluice-")
         spark.sparkContext.setCheckpointDir(where)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -75,6 +79,27 @@ def blocks(batch: pa.RecordBatch, text: str = "text", most: int = 8_000_000):
         yield batch.slice(at, step)
 
 
+def slices(texts: pa.Array, rows: int = 1024, most: int = 8_000_000):
+    """Lists of texts, null as empty, of at most `rows` texts and about `most` bytes, but for single texts that are longer."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, side="right"))))
+        yield [x or "" for x in texts[at:end].to_pylist()]
+        at = end
+
+
+def copies(groups: DataFrame, count: str, name: str, chunk: int = 65_536) -> DataFrame:
+    """Each row of the stored table `groups` as often as its column `count` says, numbered from 0 in the column `name`.
+
+    Rows that stand for more than `chunk` are dealt out in parts of as many, so no task makes all copies of one row."""
+    few = groups.where(F.col(count) <= chunk).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
+    many = groups.where(F.col(count) > chunk).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / chunk)))).repartition("__part")
+    last = F.least(F.col(count), (F.col("__part") + 1) * chunk) - 1
+    return few.unionByName(many.withColumn(name, F.explode(F.sequence(F.col("__part") * chunk, last))).drop("__part"))
+
+
 def split_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
     """Joins many rows of `left` to the one row of each key of `right`.
 

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Texts of these characters alone are cut here: the library's normal form of them is plain lower case.
+from .common import slices
+
+#: Texts of these characters alone, before and after lower-casing, are cut here: the library's normal form of them is plain lower case.
 PLAIN = re.compile("[\t-\r -~ -ɏ]*").fullmatch
 #: The vocabulary's own pattern, over those characters. Letters and numbers up to U+024F.
 _L = "a-zªµºÀ-ÖØ-öø-ɏ"
@@ -51,8 +53,8 @@ def whole_tokens(tokenizer: Tokenizer) -> frozenset[str]:
 
 def pieces_of(tokenizer: Tokenizer, text: str) -> list[str]:
     """The pre-tokens of a text without special strings, as text again."""
-    if PLAIN(text):
-        return PIECES(text.lower())
+    if PLAIN(text) and PLAIN(low := text.lower()):
+        return PIECES(low)
     letters = _byte_letters()
     cut = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))
     return [bytes(letters[c] for c in piece).decode("utf-8") for piece, _ in cut]
@@ -104,8 +106,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
         run, out = _counting(*shared.value), []
-        for at in range(0, len(texts), 1024):
-            out += run([x or "" for x in texts[at : at + 1024].to_pylist()])
+        for part in slices(texts):
+            out += run(part)
         return pa.array(out, pa.int64())
 
     text = F.coalesce("text", F.lit(""))
