@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, slices
 
 DIMS = 1024
 SEED = 11
-#: More labels than this are no set of languages.
+#: Of more labels than this, those with the most rows are learnt (equal numbers: the first in order); no set of languages has as many.
 LANGUAGES = 4096
 #: Trigram vectors held at a time.
 HELD = 16_384
@@ -124,10 +124,9 @@ def fit(labelled: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "vector"])
 
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    sums = rows.mapInArrow(run, "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
-    found = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vector")).orderBy("lang").limit(LANGUAGES + 1).collect()
-    if len(found) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
+    labels = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    sums = rows.join(F.broadcast(labels), "lang", "left_semi").select("text", "lang").mapInArrow(run, "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    found = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vector")).orderBy("lang").collect()
     if not found:
         return Model([], np.zeros(DIMS), np.zeros((0, DIMS)))
     rows_ = np.array([r["vector"] for r in found], dtype=np.float64)
@@ -147,7 +146,7 @@ def languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of `docs` (doc_id, text, lang).
 
     Learnt from the rows that aren't held out (crc32 of doc_id mod 4 is 2) and have a language. lang_pred is a learnt
-    language, or `und` with score 0 for a null text, one without letters, or if nothing could be learnt; equal
+    language (one of the LANGUAGES with the most rows), or `und` with score 0 for a null text, one without letters, or if nothing could be learnt; equal
     cosines go to the first language in order. score is (1 + cosine) / 2. Rows that repeat are predicted alike. Other columns are
     ignored; no rows give no rows."""
     held = held_out(F.col("doc_id"))
@@ -156,8 +155,8 @@ def languages(docs: DataFrame) -> DataFrame:
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
-        for at in range(0, len(texts), 2048):
-            a, b = model.value.predict([x or "" for x in texts[at : at + 2048].to_pylist()])
+        for part in slices(texts, 2048):
+            a, b = model.value.predict(part)
             langs += a
             scores += b
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
