@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored, word_count
+from .common import copies, small, stored, word_count
 
 #: Runs of the random order: about this many in all, so that none is large.
 RUNS = 16_384
@@ -43,18 +43,20 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     of md5(seed, doc_id), then size, so reruns agree, and repeated rows differ in nothing but which of them stands first.
     A null source is a source of its own, last in order; a null doc_id counts as an empty one. A source without words has
     target 0. Other columns are ignored; no rows give no rows."""
+    # Rows that share id, source and size are interchangeable: they are one weighted row until the end, so no key is hot.
+    by = ["source_null", "source_key"]
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", F.col("source").isNull().alias("source_null"), F.coalesce("source", F.lit("")).alias("source_key"), word_count(F.col("text")).alias("size"), key.alias("key"))
+    rows = rows.select("*", F.col("source").isNull().alias("source_null"), F.coalesce("source", F.lit("")).alias("source_key"), key.alias("key"), (F.col("size") * F.col("m")).alias("words"))
     rows = stored(rows, "mix-rows")
-    by = ["source_null", "source_key"]
-    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    sums = rows.groupBy(*by).agg(F.sum("m").alias("n"), F.sum("words").alias("source_size"))
     aims = stored(targets(sums, weights, share, most), "mix-targets")
     n_sources, total = aims.agg(F.count("*"), F.sum("n")).first()
     run_rows = max(64, (total or 0) // RUNS)
     aims = aims.withColumn("runs", F.ceil(F.col("n") / run_rows)).withColumn("budget", F.round("target").cast("long"))
     rows = rows.join(small(aims, n_sources), by).withColumn("run", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("runs") / F.lit(2**32)))
     # A run for each run_rows rows and one more for each source: the table of sums is bounded by RUNS plus the sources.
-    runs = rows.groupBy(*by, "run").agg(F.sum("size").alias("words"))
+    runs = rows.groupBy(*by, "run").agg(F.sum("words").alias("words"))
     # Sums of the sums of STRIDE runs first, so that no task orders all runs of a source.
     stride = F.floor(F.col("run") / STRIDE)
     before = lambda order, *more: Window.partitionBy(*by, *more).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -64,11 +66,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     runs = runs.select(*by, "run", (F.col("stride_ahead") + F.coalesce(F.sum("words").over(before("run", "stride")), F.lit(0))).alias("ahead"))
     within = Window.partitionBy(*by, "run").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(small(runs, n_sources + RUNS), [*by, "run"])
-    rows = rows.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("words").over(within), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.col("budget") - epochs * F.col("source_size") - F.col("ahead")
+    rows = stored(rows.select("doc_id", "source", "size", "m", "source_size", "target", epochs.alias("epochs"), (F.col("budget") - epochs * F.col("source_size") - F.col("ahead")).alias("rest")), "mixed")
+    rows = copies(rows, "m", "copy")
+    rest = F.col("rest") - F.col("copy") * F.col("size")
     last = F.when(rest * 2 >= F.col("size"), F.col("size")).otherwise(0) if whole else F.greatest(F.lit(0), F.least("size", rest))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
 
 
 #: DuckDB's words for op7 on the parameters of the query.
