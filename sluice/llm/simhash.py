@@ -27,8 +27,8 @@ RADIUS = 3
 SEED = 42
 #: A group of more fingerprints than this is dealt out as pairs of its parts.
 SPLIT = 100_000
-#: Pairs of nodes walked down at a time.
-WALK = 1_000_000
+#: Pairs of nodes walked down at a time, and index entries that are gathered before whole groups of them are linked.
+WALK, GATHER = 1_000_000, 200_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -184,12 +184,27 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("block").to_numpy(zero_copy_only=False).astype(np.int8), b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)) for b in batches]
-        if held:
-            a, b = link_groups(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    return rows.repartition(parts, "block", "bits", "deal").select("block", "fp").mapInArrow(run, "a long, b long")
+        """Whole groups, which follow each other, at least GATHER entries at a time: a group has at most about 2 * SPLIT."""
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("group", "block", "fp")]))
+            if sum(x.shape[1] for x in held) < GATHER:
+                continue
+            rows = np.concatenate(held, axis=1)
+            done = int(np.searchsorted(rows[0], rows[0, -1]))  # where the last group, which may go on, begins
+            held = [rows[:, done:]]
+            if done:
+                yield linked(rows[:, :done])
+        if held and held[0].shape[1]:
+            yield linked(np.concatenate(held, axis=1))
+
+    def linked(rows: np.ndarray) -> pa.RecordBatch:
+        a, b = link_groups(rows[1].astype(np.int8), rows[2].view(np.uint64), radius)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    group = F.xxhash64("block", "bits", "deal")
+    dealt = rows.withColumn("group", group).repartition(parts, "group").sortWithinPartitions("group", "block", "bits", "deal")
+    return dealt.select("group", "block", "fp").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -201,11 +216,12 @@ def components(edges: DataFrame) -> DataFrame:
         if state[0] == 0 or state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
+        # A centre has an edge for each member of its component: its edges meet the centre's row by split joins.
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("edges")).select("u", F.least("u", "m").alias("m"), "edges"), "least")
+        large = stored(split_join(both.where("v > u").select("u", "v"), least, "u", "edges").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        down = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")), "down")
+        small = split_join(large, down, "u", "edges").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = stored(small, "stars")
 
 
