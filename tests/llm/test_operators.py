@@ -151,6 +151,36 @@ def test_shards(spark, docs, nothing):
     assert sharding.shard(spark.createDataFrame(rows()[:3], SCHEMA), 40).agg(F.countDistinct("shard")).first()[0] == 3
 
 
+def many_without_id(spark):
+    """20 000 rows without an id, half of them with one text, among few others."""
+    ids = F.when(F.col("id") >= 20_000, F.col("id"))
+    text = F.when(F.col("id") % 2 == 0, F.lit("one and the same")).otherwise(F.concat_ws(" ", F.lit("w"), F.col("id").cast("string")))
+    return spark.range(20_300).select(ids.alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 3 > 0, "s").alias("source"))
+
+
+def test_many_rows_without_an_id(spark, monkeypatch):
+    """Rows that share id and text are one weighted row, dealt out in parts at the end; laws and budgets hold."""
+    from sluice.llm import common
+
+    monkeypatch.setattr(common.copies, "__defaults__", (1000,))
+    frame = many_without_id(spark)
+    got = sharding.shard(frame, 7).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert sum(r.n for r in got) == 20_300 and max(r.n for r in got) - min(r.n for r in got) <= 1
+    assert all(r.slots == r.n == r["last"] + 1 for r in got)
+    mixed = mixing.mix(frame)
+    by = mixed.groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum("size").alias("words"), F.first("source_size").alias("all")).collect()
+    assert sum(r.n for r in by) == 20_300 and all(abs(r.taken - r.target) <= 0.5 and r.words == r["all"] for r in by)
+    rows = mixed.groupBy(*mixed.columns).count()
+    assert rows.exceptAll(mixing.mix(frame.repartition(7)).groupBy(*mixed.columns).count()).isEmpty()
+
+
+def test_quantiles_of_columns(spark):
+    frame = spark.createDataFrame([(x,) for x in [*"abcdefgh", None, "a", "é"]], "x string")
+    cells = {r.x: r.c for r in frame.select("x", sharding._cell(frame, "x", 5).alias("c")).collect()}
+    order = [*"abcdefgh", "é", None]
+    assert [cells[x] for x in order] == [i * 5 // 10 for i in range(10)]
+
+
 @pytest.mark.parametrize("dims", [2, 3, 4])
 def test_hilbert_neighbours_touch(dims):
     table, bits = sharding.transitions(dims), 3
@@ -416,6 +446,23 @@ def test_every_remembered_path_agrees(monkeypatch):
     assert count(some) == [len(library.encode(x, add_special_tokens=False).ids) for x in some]
 
 
+def test_letters_beside_the_plain_ones():
+    """Every code point of the fast path, alone and beside quotes, digits and letters, counts as the library counts it; some lower-case beyond it."""
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary())
+    count = tokens.Counting(Path(vocabulary()).read_text(encoding="utf-8"), tokens.whole_tokens(library))
+    letters = [chr(c) for c in range(1, 0x260)]
+    some = [p.format(c) for c in letters for p in ("{}", "{}'S", "a{}", "{}b", "1{}2", "'{}", "{0}{0}", "{} {}".replace("{}", "{0}"), "x'll{}", "!{}?")]
+    rng = random.Random(3)
+    some += ["".join(rng.choices(letters, k=rng.randint(2, 30))) for _ in range(2_000)]
+    some += [chr(c) for c in range(0x260, 0x1200)]
+    got, wanted = count(some), [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+    assert [x for x, a, b in zip(some, got, wanted, strict=True) if a != b] == []
+
+
 # --- 9
 
 
@@ -485,3 +532,10 @@ def test_shouting_reads_the_whole_text():
     """Capitals count wherever they stand: a calm head hides no shouting, and a loud head makes none."""
     assert toxicity.patterns("a" * 2500 + "A" * 5000)[0] and not toxicity.patterns("A" * 1500 + "a" * 8000)[0]
     assert toxicity.patterns("AAa")[0] and not toxicity.patterns("")[0]
+
+
+def test_more_labels_than_languages(spark, monkeypatch):
+    """The labels with the most rows are learnt; of equal numbers the first in order."""
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    own = [("abc abd", "x")] * 3 + [("xyz xyy", "y")] * 2 + [("klm kll", "b"), ("opq oqq", "z"), ("opq oqq", "z")]
+    assert language.fit(spark.createDataFrame(own, "text string, lang string")).languages == ["x", "y"]
