@@ -35,13 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written once as a Parquet table in the shared folder and read from there.
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """`df`, written once as a Parquet table in the shared folder, in folders by the columns `by`, and read from there.
 
     The files outlive any executor, so what follows never goes back before them. They go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sluice-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

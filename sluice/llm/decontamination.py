@@ -1,10 +1,11 @@
 """Benchmark decontamination on a positional inverted index of the training tokens.
 
-The index holds a posting (document, position, term) for each token that any test item uses, and one posting of the
-empty term for each document, whose position is the document's length. It is written once to the shared folder in the
-order of the documents, so building it shuffles nothing. A test window is looked up from its rarest term: the list of that term gives
-candidate places once each position is moved back by the term's place in the window, the list of the next rarest
-term is intersected with them at its own offset, and what is left is compared word by word.
+The index holds a posting (term, row, position) for each token that a test window uses, sorted by term inside every file, and
+one marker for each row, whose position is the row's length. Its files are split in levels: the lists of the terms by
+which windows are looked up (the two rarest of any window) lie apart from those of all other terms, and lookups read
+the former only. A window is looked up from the list of its rarest term; the list of the next rarest is intersected with it, each
+at its own offset (or, for proximity, within the span), and then all other lists at once. No text is read again and
+none is ever in an exchange.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small, stored
+from .common import BROADCAST_ROWS, ascii_lower, small, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-KEY = ["doc", "hash", "doc_null"]
+LOOKED_UP, OTHER, MARKER = 0, 1, 2
 
 
 def tokens(text: Column) -> Column:
@@ -23,102 +24,122 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """A row's identity and text: its id, whether that is null, and 64 bits of its text, for ids that repeat."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64("text").alias("hash"), F.col("doc_id").isNull().alias("doc_null"), "text")
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return _identified(docs).select(*KEY, tokens(F.col("text")).alias("words"))
-
-
-def windows(items: DataFrame, width: int) -> DataFrame:
-    """window, len, words, items of each different window of `items` (item_id, text)."""
+def windows(items: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(window, len, words of each different window of `items` (item_id, text); window, item of each item that has it and an id)."""
     rows = items.select(F.col("item_id").cast("string").alias("item"), tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - width + 1, F.lit(1)))
-    rows = rows.select("item", F.explode(F.transform(starts, lambda s: F.slice("words", s, width))).alias("words"))
-    each = rows.groupBy("words").agg(F.collect_set("item").alias("items"))
-    return stored(each.select(F.monotonically_increasing_id().alias("window"), F.size("words").alias("len"), "words", "items"), "windows")
-
-
-def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings doc, hash, doc_null, term, pos of the words in `terms` (word, term), and of term -1 at each text's end."""
-    every = F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "word")
-    vocabulary = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(-1).alias("term")))
-    return stored(_keyed(docs).select(*KEY, every).join(small(vocabulary), "word").select(*KEY, "term", "pos"), "postings")
-
-
-def _ranked_terms(found: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """window, len, term, offset, nth: each window's words from the rarest in the corpus on; only windows whose words all occur."""
-    uses = stored(postings.groupBy("term").agg(F.count("*").alias("uses")), "uses")
-    slots = found.select("window", "len", F.posexplode("words").alias("offset", "word")).join(small(terms), "word").join(small(uses), "term", "left")
-    each = Window.partitionBy("window")
-    slots = slots.withColumn("least", F.min(F.coalesce("uses", F.lit(0))).over(each)).where("least > 0")
-    return stored(slots.withColumn("nth", F.row_number().over(each.orderBy("uses", "offset"))).select("window", "len", "term", "offset", "nth"), "slots")
-
-
-def _terms_of(found: DataFrame) -> DataFrame:
-    words = found.select(F.explode("words").alias("word")).distinct()
-    return stored(words.select("word", F.row_number().over(Window.orderBy("word")).alias("term")), "terms")
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame, width: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(matches, lengths): doc, hash, doc_null, start, len, items of each place where a window occurs; n_words of each row."""
-    found = windows(items, width)
-    terms = _terms_of(found)
-    postings = index(docs, terms)
-    slots = _ranked_terms(found, terms, postings)
-    first, second = (slots.where(F.col("nth") == k).select("window", "len", "term", "offset") for k in (1, 2))
-    places = postings.join(small(first), "term").select(*KEY, "window", "len", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
-    alone = places.where("len = 1")
-    others = places.join(small(second.select("window", "term", "offset")), "window").withColumn("pos", F.col("start") + F.col("offset"))
-    lists = postings.join(small(second.select("term").distinct()), "term", "left_semi")
-    both = others.join(lists, [*KEY, "term", "pos"], "left_semi").select(*KEY, "window", "len", "start")
-    by_doc = both.unionByName(alone.select(*both.columns)).groupBy(*KEY).agg(F.collect_set(F.struct("start", "window", "len")).alias("at"))
-    # The join moves texts as they are; only those of candidates are cut into words again.
-    there = _identified(docs).join(by_doc, KEY).dropDuplicates(KEY).withColumn("words", tokens(F.col("text")))
-    there = there.select(*KEY, F.explode(F.transform("at", lambda c: F.struct(c["window"].alias("window"), c["start"].alias("start"), F.slice("words", c["start"] + 1, c["len"]).alias("seen")))).alias("c")).select(*KEY, "c.*")
-    known = found.select("window", "len", "words", "items")
-    matches = there.join(small(known), "window").where(F.col("seen") == F.col("words")).select(*KEY, "start", "len", "items")
-    return matches, postings.where("term = -1").select(*KEY, F.col("pos").cast("long").alias("n_words"))
+    rows = stored(rows.select("item", F.explode(F.transform(starts, lambda s: F.slice("words", s, width))).alias("words")).distinct(), "item-windows")
+    found = stored(rows.select("words").distinct().select(F.monotonically_increasing_id().alias("window"), F.size("words").alias("len"), "words"), "windows")
+    return found, stored(rows.where("item is not null").join(small(found), "words").select("window", "item"), "window-items")
+
+
+def ranked(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """window, len, terms (in the window's order), first and second (term, offset) of the windows whose words all occur in `docs`.
+
+    first and second are the two rarest different terms, second is null where there is one only; word by word, with `words`."""
+    known = stored(found.select(F.explode("words").alias("word")).distinct().select("word", F.monotonically_increasing_id().alias("term")), "terms")
+    counted = docs.select(F.explode(tokens(F.col("text"))).alias("word")).join(small(known), "word").groupBy("word", "term").agg(F.count("*").alias("uses"))
+    used = stored(counted, "uses")
+    slots = found.select("window", "len", F.posexplode("words").alias("offset", "word")).join(small(used), "word")
+    by = slots.groupBy("window", "len").agg(F.array_sort(F.collect_list(F.struct("offset", "term", "word"))).alias("slots"), F.array_sort(F.collect_list(F.struct("uses", "term", "offset"))).alias("order"))
+    by = by.where(F.size("slots") == F.col("len"))  # the others can't occur
+    place = lambda x: F.when(x.isNotNull(), F.struct(x["term"].alias("term"), x["offset"].alias("offset")))
+    rarest = F.get("order", F.lit(0))
+    other = F.get(F.filter("order", lambda x: x["term"] != F.get("order", F.lit(0))["term"]), F.lit(0))
+    return stored(by.select("window", "len", F.col("slots.term").alias("terms"), F.col("slots.word").alias("words"), place(rarest).alias("first"), place(other).alias("second")), "ranked")
+
+
+def index(docs: DataFrame, plans: DataFrame) -> DataFrame:
+    """Postings term, row, pos, level of the words of `plans`, and for each row of `docs` a marker with pos its length, doc_id and text_hash.
+
+    row names a row of `docs` in this table; it is written with its postings by one task, so it agrees whatever task is run again."""
+    lookups = plans.select(F.explode(F.array("first.term", "second.term")).alias("term")).where("term is not null").distinct().withColumn("level", F.lit(LOOKED_UP))
+    vocabulary = plans.select(F.explode(F.arrays_zip("words", "terms")).alias("s")).select(F.col("s.words").alias("word"), F.col("s.terms").alias("term")).distinct()
+    vocabulary = vocabulary.join(small(lookups), "term", "left").select("word", "term", F.coalesce("level", F.lit(OTHER)).alias("level"))
+    vocabulary = stored(vocabulary.unionByName(plans.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(-1).cast("long").alias("term"), F.lit(MARKER).alias("level"))), "vocabulary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("words"))
+    rows = rows.select("row", "doc_id", "text_hash", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "word"))
+    own = lambda c: F.when(F.col("level") == MARKER, F.col(c)).alias(c)
+    rows = rows.join(small(vocabulary), "word").select("term", "row", "pos", own("doc_id"), own("text_hash"), "level")
+    return stored(rows.sortWithinPartitions("level", "term", "row", "pos"), "postings", "level")
+
+
+def search(docs: DataFrame, items: DataFrame, width: int, slop: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, lengths, owners) of the windows of `items` in `docs`.
+
+    found: row, window, start, len and near of each place where a window stands word by word (start is not null) or, with a
+    slop, all its different words stand within its length plus slop, in any order (near). lengths: row, doc_id, text_hash and
+    n_words of each row of `docs`. owners: window, item."""
+    known, owners = windows(items, width)
+    plans = ranked(docs, known)
+    postings = index(docs, plans)
+    span = F.col("len") + (slop or 0)
+    grain = 2 * (width + (slop or 0))  # no span on both sides of a place touches more than two cells
+    cell = F.floor(F.col("pos") / grain)
+    cells = F.explode(F.array_distinct(F.array(F.floor((F.col("at") - span + 1) / grain), F.floor((F.col("at") + span - 1) / grain)))).alias("cell")
+    lists = postings.where(F.col("level") == LOOKED_UP).select("term", "row", "pos")
+    at = lists.join(small(plans.select(F.col("first.term").alias("term"), "window")), "term").select("row", "window", F.col("pos").alias("at"))
+    at = at.join(small(plans.select("window", "len", F.col("first.offset").alias("o1"), F.col("second.term").alias("t2"), (F.col("second.offset") - F.col("first.offset")).alias("gap"))), "window")
+    alone = at.where("t2 is null").select("row", "window", "at")
+    second = lists.join(small(plans.where("second is not null").select(F.col("second.term").alias("term")).distinct()), "term", "left_semi").select("row", F.col("term").alias("t2"), "pos", cell.alias("cell"))
+    met = F.col("pos") - F.col("at")
+    close = met == F.col("gap") if slop is None else F.abs(met) < span
+    pairs = at.where("t2 is not null").select("*", cells).join(second, ["row", "t2", "cell"]).where(close)
+    # A place by which a window is looked up; it has at most one row for each position of the second list in its span.
+    places = stored(pairs.select("row", "window", "at").distinct().unionByName(alone), "places")
+    # All other lists at once: what stands around a place of the window's own terms, at most two spans of positions.
+    every = postings.where(F.col("level") < MARKER).select("row", "term", "pos")
+    touched = stored(places.select("row").distinct(), "touched-rows")
+    if (n := touched.count()) <= BROADCAST_ROWS:
+        every = every.join(small(touched, n), "row", "left_semi")
+    wanted = plans.select("window", "len", "terms", F.col("first.offset").alias("o1"))
+    around = places.join(small(wanted.select("window", "len", F.array_distinct("terms").alias("own"))), "window").select("*", cells)
+    seen = around.join(every.withColumn("cell", cell), ["row", "cell"]).where(F.array_contains("own", F.col("term")) & (F.abs(F.col("pos") - F.col("at")) < span))
+    seen = seen.groupBy("row", "window", "at").agg(F.array_sort(F.collect_set(F.struct("pos", "term"))).alias("seen")).join(small(wanted), "window")
+    start = F.col("at") - F.col("o1")
+    phrase = F.transform("terms", lambda t, i: F.struct((start + i).alias("pos"), t.alias("term")))
+    whole = F.size(F.array_except(phrase, "seen")) == 0
+    inside = lambda s: F.size(F.array_distinct(F.filter("seen", lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + span))["term"]))
+    near = F.exists("seen", lambda s: inside(s) == F.size(F.array_distinct("terms"))) if slop is not None else F.lit(False)
+    found = seen.select("row", "window", F.when(whole, start).alias("start"), "len", near.alias("near")).where("start is not null or near")
+    lengths = postings.where(F.col("level") == MARKER).select("row", "doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
+    return stored(found, "found"), lengths, owners
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """doc_id, text_hash, start, len, item of each place in a row of `docs` where a window of an item with an id stands word by word."""
+    found, lengths, owners = search(docs, items, width, None)
+    return found.join(small(owners), "window").join(lengths, "row").select("doc_id", "text_hash", "start", "len", "item")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 5) -> DataFrame:
-    """doc_id and items of the rows in which all different words of a window stand within width + slop words, in any order.
-
-    Same rules as `contamination` for null and empty texts and repeated rows; one result row per window and row identity."""
-    found = windows(items, width)
-    terms = _terms_of(found)
-    slots = _ranked_terms(found, terms, index_ := index(docs, terms))
-    span = F.col("len") + slop
-    first, second = (slots.where(F.col("nth") == k).select("window", "len", F.col("term").alias(f"t{k}")) for k in (1, 2))
-    grain = width + slop
-    near = index_.join(small(first), F.col("term") == F.col("t1")).select(*KEY, "window", "len", F.col("pos").alias("p1"))
-    alone = near.where("len = 1")
-    near = near.join(small(second.drop("len")), "window").withColumn("cell", F.explode(F.array(*[F.floor(F.col("p1") / grain) + i for i in (-1, 0, 1)])))
-    lists = index_.join(small(second.select(F.col("t2").alias("term")).distinct()), "term", "left_semi").select(*KEY, F.col("term").alias("t2"), F.col("pos").alias("p2"), F.floor(F.col("pos") / grain).alias("cell"))
-    near = near.join(lists, [*KEY, "t2", "cell"]).where(F.abs(F.col("p1") - F.col("p2")) < span).select(*KEY, "window", "len", "p1").distinct()
-    near = near.unionByName(alone.select(*near.columns)).join(small(found.select("window", "words", "items")), "window").withColumnRenamed("words", "wanted")
-    text = _keyed(docs).dropDuplicates(KEY)
-    inside = F.exists(F.sequence(F.greatest(F.lit(0), F.col("p1") - span + 1), F.col("p1")), lambda s: F.size(F.array_except("wanted", F.slice("words", s + 1, span))) == 0)
-    return near.join(text, KEY).where(inside).select(F.when(~F.col("doc_null"), F.col("doc")).alias("doc_id"), "items", "wanted").distinct()
-
-
-def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and text_hash of each row of `docs` (doc_id, text).
+    """doc_id, text_hash, item: rows in which all different words of a window of an item stand within its length plus slop words, in any order.
+
+    Same rules as `contamination` for null and empty texts; a result for each row and item with an id."""
+    found, lengths, owners = search(docs, items, width, slop)
+    return found.where("near").select("row", "window").distinct().join(small(owners), "window").select("row", "item").distinct().join(lengths, "row").select("doc_id", "text_hash", "item")
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slop: int | None = 5) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near and text_hash of each row of `docs` (doc_id, text).
 
     A window is `width` consecutive words of an item of `items` (item_id, text), or all of a shorter one. n_hit
-    counts the row's words inside any occurrence of a window. A null or empty text has no words; an item of none has no
+    counts the row's words inside any occurrence of a window; n_near the items of a window whose different words
+    all stand within its length plus `slop` words, in any order (0 without slop, which saves their search). A null or empty text has no words; an item of none has no
     window; an item without an id marks words but isn't listed. Rows equal in id and text get equal results. Other columns
     are ignored; without rows or items nothing is hit."""
-    matches, lengths = phrase_matches(docs, items, width)
-    hits = matches.groupBy(*KEY).agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.collect_set("items").alias("items"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))))
-    hits = hits.select(*KEY, covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    found, lengths, owners = search(docs, items, width, slop)
+    hits = found.where("start is not null").select("row", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
+    before = F.max("end").over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))))
+    hits = hits.withColumn("fresh", fresh).groupBy("row").agg(F.sum("fresh").cast("long").alias("n_hit"))
+    has = found.groupBy("row", "window").agg(F.max(F.col("start").isNotNull()).alias("phrase"), F.max("near").alias("near"))
+    has = has.join(small(owners), "window").groupBy("row", "item").agg(F.max("phrase").alias("phrase"), F.max("near").alias("near"))
+    has = has.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("phrase"), F.col("item")))).alias("items"), F.count_if("near").alias("n_near"))
     none = F.array().cast("array<string>")
-    rows = lengths.join(hits, KEY, "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", none)})
+    rows = lengths.join(hits.join(has, "row", "full"), "row", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", none), "n_near": F.coalesce("n_near", F.lit(0).cast("long"))})
     digest = F.sha2(F.array_join("items", ","), 256)
-    return rows.select(F.when(~F.col("doc_null"), F.col("doc")).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.col("hash").alias("text_hash"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near", "text_hash")
 
 
 #: DuckDB's words for op1 on the parameters of the query, without text_hash.
@@ -132,7 +153,15 @@ p AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, l WHERE len(
 g AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS t FROM p),
 h AS (SELECT g.r, g.i, g.n, q.item FROM g JOIN q ON g.t = q.t AND g.n = q.n),
 c AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS x FROM (SELECT DISTINCT r, i, n FROM h)) GROUP BY r),
-k AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(k.n_items, 0) AS n_items, sha256(coalesce(k.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN k ON d.r = k.r
+k AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r),
+x AS MATERIALIZED (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+u AS (SELECT word, count(*) AS uses FROM x GROUP BY word),
+v AS (SELECT t, n, ws, unnest(ws) AS word FROM (SELECT DISTINCT t, n, list_distinct(string_split(t, ' ')) AS ws FROM q)),
+a AS (SELECT t, n, ws, arg_min(v.word, u.uses) AS rare FROM v JOIN u ON v.word = u.word GROUP BY t, n, ws HAVING count(*) = len(ws)),
+o AS (SELECT x.r, x.i AS at, a.t, a.n + 5 AS span, a.ws FROM x JOIN a ON x.word = a.rare),
+y AS MATERIALIZED (SELECT o.r, o.t, o.at, o.span, len(o.ws) AS k, x.i, x.word FROM o JOIN x ON x.r = o.r AND abs(x.i - o.at) < o.span AND list_contains(o.ws, x.word)),
+z AS (SELECT DISTINCT r, t FROM (SELECT e.r, e.t, e.at, e.i FROM y e JOIN y f ON e.r = f.r AND e.t = f.t AND e.at = f.at AND f.i >= e.i AND f.i < e.i + e.span GROUP BY e.r, e.t, e.at, e.i, e.k HAVING count(DISTINCT f.word) = e.k)),
+m AS (SELECT z.r, count(DISTINCT q.item) AS n_near FROM z JOIN q ON z.t = q.t GROUP BY z.r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(k.n_items, 0) AS n_items, sha256(coalesce(k.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated, coalesce(m.n_near, 0) AS n_near
+FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN k ON d.r = k.r LEFT JOIN m ON d.r = m.r
 """

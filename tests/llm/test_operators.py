@@ -81,10 +81,37 @@ def test_contamination_without_rows_or_items(spark, docs, nothing):
     assert decontamination.contamination(docs, none).where("contaminated").count() == 0
 
 
+def near(text: str | None, items: list[tuple], width: int, slop: int) -> set:
+    """Items with an id of which all different words of a window stand within its length plus slop words."""
+    cut = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(x or ""))
+    own, found = cut(text), set()
+    for item, content in items:
+        words = cut(content)
+        for window in [words[i : i + width] for i in range(max(1, len(words) - width + 1))] if words else []:
+            if item is not None and any(set(window) <= set(own[s : s + len(window) + slop]) for s in range(len(own))):
+                found.add(str(item))
+    return found
+
+
+@pytest.mark.parametrize(("width", "slop"), [(3, 2), (5, 0), (10, 5)])
+def test_proximity_equals_brute_force(spark, docs, width, slop):
+    items = [(1, " ".join(texts(1)[0].split()[:14])), (2, " ".join(sorted(texts(3)[2].split()[:12]))), (10, WORDS[5]), (3, f"{WORDS[1]} {WORDS[2]} {WORDS[1]}"), (4, None), (None, texts(5)[4]), (7, f"{WORDS[9]} {WORDS[9]}")]
+    items += [(20 + i, " ".join(random.Random(i).sample(x.split()[:9], k=4))) for i, x in enumerate(texts(40)) if len(x.split()) > 9]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.proximity_matches(docs, table, width, slop).collect()
+    wanted = [near(r[1], items, width, slop) for r in rows()]
+    assert sorted((str(r.doc_id), r.item) for r in got) == sorted((str(r[0]), i) for r, found in zip(rows(), wanted, strict=True) for i in found)
+    counts = decontamination.contamination(docs, table, width, slop).collect()
+    assert sorted((str(r.doc_id), r.n_near) for r in counts) == sorted((str(r[0]), len(found)) for r, found in zip(rows(), wanted, strict=True))
+    assert any(wanted)
+
+
 def test_proximity(spark):
     found = spark.createDataFrame([(1, "one x two y three"), (2, "three two one"), (3, "one two " + "z " * 20 + "three"), (4, "one two"), (5, None)], "doc_id long, text string")
     got = decontamination.proximity_matches(found, spark.createDataFrame([(9, "one two three")], "item_id long, text string"), slop=2)
     assert sorted(r.doc_id for r in got.collect()) == [1, 2]
+    places = decontamination.phrase_matches(found, spark.createDataFrame([(9, "two three"), (8, "one")], "item_id long, text string"), 2)
+    assert sorted((r.doc_id, r.start, r.len, r.item) for r in places.collect()) == [(1, 0, 1, "8"), (2, 2, 1, "8"), (3, 0, 1, "8"), (4, 0, 1, "8")]
 
 
 # --- 2
