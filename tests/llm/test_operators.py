@@ -369,37 +369,54 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
     assert r.s > r.b
 
 
-def test_narrow_contexts_where_wide_ones_are_too_many(spark, docs, monkeypatch):
-    wide = {(r.doc_id, r.n_tokens, r.n_known): r for r in lm.score(docs).collect()}
-    monkeypatch.setattr(lm, "ENTRIES", 100)
-    narrow = {(r.doc_id, r.n_tokens, r.n_known): r for r in lm.score(docs).collect()}
-    assert narrow.keys() == wide.keys() and all(abs(narrow[k].base_score - wide[k].base_score) < 1e-6 and narrow[k].score < 0 for k in wide)
-    assert any(narrow[k].score != wide[k].score for k in wide)
-
-
-def test_spellings_are_probabilities():
-    """Over all next bytes, the probabilities after any context add up to one."""
-    keys, n = np.unique(lm.spellings([w.encode() for w in WORDS] * 3)[0], return_counts=True)
-    model = lm.sample_spelling(keys, n)
-    for word in (b"", b"a", b"zz", WORDS[9].encode()):
-        start = model.logs([word])[0] - _last(model, word)
-        total = sum(np.exp(_last(model, word, b)) for b in range(256))
-        assert np.allclose(total, 1, atol=1e-9) and np.all(start <= 0)
-
-
-def _last(model, word: bytes, byte: int = lm.END):
-    """The log probability of one byte after a word's letters."""
-    context = int(lm.spellings([word + b"a"])[0][len(word)]) >> 8
-    out, key = np.zeros(lm.SAMPLES), context << 8 | byte
-    for level, width in zip(model.levels, model.widths, strict=True):
-        own = key & ((1 << width + 8) - 1)
-        at = np.searchsorted(level.keys, own)
-        if at < len(level.keys) and level.keys[at] == own:
-            return out + level.logs[at]
-        where = np.searchsorted(level.contexts, own >> 8)
-        if where < len(level.contexts) and level.contexts[where] == own >> 8:
-            out = out + level.rest[where]
-    return out + np.log(1 / 256)
+def test_scores_are_the_same_in_any_layout(spark, docs, monkeypatch):
+    """Seating depends on words alone: neither on partitions nor on what is counted and seated together."""
+    one = lm.score(docs).collect()
+    monkeypatch.setattr(lm, "SEATED", 900)
+    monkeypatch.setattr(lm, "COUNTED", 2_000)
+    monkeypatch.setattr(lm, "HOT", 20)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        other = lm.score(docs.repartition(5, "text")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    order = lambda found: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in found)
+    assert len(one) == len(other)
+    assert all(a[:4] == b[:4] and abs(a[4] - b[4]) < 2e-3 for a, b in zip(order(one), order(other), strict=True))
+
+
+def test_word_probabilities_add_up_to_one(spark, docs):
+    """After every context: all known words, the end, and the class of unknown words."""
+    words = lm.count_words(docs.select("text"))
+    rounds = lm.sample_seating(words)
+    last = rounds[-1]
+    assert len(rounds) == lm.ROUNDS + 1 and any(not np.array_equal(a.tables, b.tables) for a, b in zip(rounds, rounds[1:], strict=False))
+    rest = last.rest()
+    unknown = np.array([last.share(np.zeros(1), np.zeros(1), s)[0] for s in range(lm.SAMPLES)])
+    total, known = rest @ unknown / lm.SAMPLES, 0
+    for r in lm.word_scores(words, rounds).collect():
+        p = rest @ np.array(r.parent) / lm.SAMPLES
+        p[r.contexts] = 10.0 ** np.array(r.logs)
+        total, known = total + p, known + 1
+    assert known == last.known and np.allclose(total, 1, atol=1e-5)
+
+
+def test_blocks_seat_like_single_customers():
+    """The mean number of tables of large counts is within one per cent of that of seating one at a time."""
+    for count, share in ((3000, 0.02), (20_000, 0.001), (20_000, 0.3)):
+        many, key = np.full(400, count), lm.mixed(np.arange(400, dtype=np.uint64))
+        means = [lm.seat(many, np.full(400, share), np.full(400, 5000.0), 0.7, key, single).mean() for single in (lm.SINGLE, 1 << 40)]
+        assert abs(means[0] / means[1] - 1) < 0.01, (count, share, means)
+
+
+def test_binomial_numbers():
+    u, v = (lm.uniform(lm.mixed(np.arange(200_000, dtype=np.uint64)), i) for i in (1, 2))
+    assert abs(u.mean() - 0.5) < 0.005 and abs(np.corrcoef(u, v)[0, 1]) < 0.01
+    for n, p in ((1, 0.3), (40, 0.02), (900, 0.01), (900, 0.2), (5, 0.99)):
+        found = lm.binomial(np.full(len(u), n), np.full(len(u), p), u, v)
+        assert abs(found.mean() - n * p) < 0.02 * max(1, n * p) and abs(found.var() / (n * p * (1 - p)) - 1) < 0.03 and found.max() <= n
 
 
 # --- 7
