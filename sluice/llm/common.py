@@ -79,6 +79,22 @@ def blocks(batch: pa.RecordBatch, text: str = "text", most: int = 8_000_000):
         yield batch.slice(at, step)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id, text and `label` of at most about `most` rows of `docs` that `labels` marks, stored.
+
+    Labels that repeat are averaged. Ids are taken by a hash, at most about `most` of them; where an id has several texts, rows are taken by a hash of
+    both, and rows equal in both once, so neither many labels nor many rows of one id make it larger."""
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias(label))
+    n = marks.count()
+    if n > most:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(marks), "doc_id")  # about `most` marks
+    rows = stored(rows.groupBy("doc_id", "hash").agg(F.any_value("text").alias("text"), F.any_value(label).alias(label)), "labelled")
+    if (n := rows.count()) > most:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return rows.select("doc_id", "text", label)
+
+
 def slices(texts: pa.Array, rows: int = 1024, most: int = 8_000_000):
     """Lists of texts, null as empty, of at most `rows` texts and about `most` bytes, but for single texts that are longer."""
     ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)))

@@ -1,9 +1,10 @@
 """Toxicity by weak supervision: voters, a generative model of their votes, a linear classifier on its posteriors.
 
-Voters are mined from labelled rows: words and word beginnings (a lexicon for every language that the labels cover) that stand
-in toxic rows far more often than chance allows, and a few fixed patterns. A two-class model of their votes,
-fitted by expectation maximisation, estimates how often each fires in either class; what correlations remain inside the
-classes discount voters that repeat each other. Its posteriors are the labels of a logistic regression over the same
+Voters are a fixed lexicon of insults, a few fixed patterns, and words and word beginnings mined from labelled rows (those that stand
+in toxic rows far more often than chance allows, in whatever language). A two-class model of their votes and of the given labels, which
+are one more voter, is fitted by expectation maximisation: it estimates how often each fires in either class, given the vote of the voter that it
+depends on most. These dependences are a tree, of the largest mutual information inside the classes, so voters that repeat each other or
+belong to one language count once together. Its posteriors are the labels of a logistic regression over the same
 features, which is what scores texts.
 """
 
@@ -19,16 +20,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_texts
+from .common import blocks, byte_texts, labelled_sample
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Fit on at most this many labelled rows, taken by a hash of doc_id.
 FIT_ROWS = 8_000
 #: At most so many mined voters, each in so many rows at least and so many standard deviations above chance.
 VOTERS, SUPPORT, SIGMAS = 600, 5, 6.0
-#: How often the given labels are taken to mark clean and toxic texts as toxic: they are one more voter, whose rates are fixed.
-LABELLED = (0.01, 0.95)
+#: What is believed of the given labels before they are seen: rows they mark as toxic of ROWS clean and of ROWS toxic ones.
+BELIEVED, ROWS = (1.0, 90.0), 100.0
+#: Dependences of voters of a smaller statistic are within chance (twice the rows times the mutual information).
+DEPENDENT = 30.0
 PATTERNS = ("shouting", "exclaiming", "symbols")
+#: Common insults in English, German, French and Spanish, without accents and endings that vary.
+LEXICON = """idiot idiots moron morons imbecile stupid dumb loser losers scum trash garbage filth vermin worthless pathetic disgusting clown fool fools
+trottel dummkopf abschaum widerlich wertlos versager idioten dreck erbärmlich
+crétin imbécile abruti ordure minable débile idiote pourri
+idiota imbécil estúpido estúpida basura escoria patético asqueroso inútil payaso""".split()
 
 
 def features(text: str) -> set[str]:
@@ -53,7 +61,8 @@ class Model:
     pattern_weights: list[float] = field(default_factory=lambda: [0.0] * len(PATTERNS))
     bias: float = -4.0
     rates: dict[str, tuple[float, float]] = field(default_factory=dict)
-    discounts: dict[str, float] = field(default_factory=dict)
+    parents: dict[str, str] = field(default_factory=dict)
+    label_rates: tuple[float, float] = (0.0, 0.0)
     prior: float = 0.0
 
     def __post_init__(self) -> None:
@@ -71,33 +80,79 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(posterior, rates, discounts, prior) of a two-class model of 0/1 votes, one row a document, from first guesses `start`.
-
-    rates[j] is how often voter j fires in class 0 and 1. known: given labels, a voter of the rates LABELLED, without which the
-    classes may turn into something else than toxic and clean, such as languages. A voter's evidence is divided by one plus its
-    correlations, inside the classes, with all others, so voters that repeat each other count once together."""
+@dataclass
+class Labels:
+    """What a label model found: the posterior of each row, rates (by voter and class), the voter that each depends on (-1: none), rates of the given labels, prior."""
+
+    post: np.ndarray
+    rates: np.ndarray
+    parents: np.ndarray
+    label_rates: tuple[float, float]
+    prior: float
+
+
+def tree(both: list[np.ndarray], ones: list[np.ndarray], sizes: list[float]) -> np.ndarray:
+    """For each voter the voter that it depends on, or -1: a forest of the largest mutual information given the class, without chance links.
+
+    both[y]: rows of class y in which two voters fire; ones[y]: in which one fires; sizes[y]: all."""
+    k, n = len(ones[0]), sum(sizes)
+    info = np.zeros((k, k))
+    for y in (0, 1):
+        size = sizes[y] + 1.0
+        p = (both[y] + 0.25) / size
+        a, b = ((ones[y] + 0.5) / size)[:, None], ((ones[y] + 0.5) / size)[None, :]
+        for joint, left, right in ((p, a, b), (a - p, a, 1 - b), (b - p, 1 - a, b), (1 - a - b + p, 1 - a, 1 - b)):
+            joint = np.maximum(joint, 1e-9)
+            info += sizes[y] / n * joint * np.log(joint / (left * right))
+    info[2 * n * info < DEPENDENT] = 0
+    np.fill_diagonal(info, 0)
+    parents, best, source, out = np.full(k, -1), np.full(k, -1.0), np.full(k, -1), np.ones(k, dtype=bool)
+    for _ in range(k):
+        i = int(np.argmax(np.where(out, best, -2.0)))
+        parents[i] = source[i] if best[i] > 0 else -1
+        out[i] = False
+        nearer = out & (info[i] > best)
+        best[nearer], source[nearer] = info[i][nearer], i
+    return parents
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25, known: np.ndarray | None = None) -> Labels:
+    """A two-class model of 0/1 votes, one row a document, from first guesses `start`, and of given labels `known`, if any.
+
+    A voter fires at a rate of its own for each class and vote of the voter that it depends on. The labels' rates are estimated as the voters'
+    are, from BELIEVED on, so that the classes don't turn into something else than toxic and clean, such as languages."""
     post = start.astype(float)
-    n, k = votes.shape
-    discounts = np.ones(k)
-    rates, prior = np.zeros((k, 2)), 0.5
+    k = votes.shape[1]
+    parents, joined = np.full(k, -1), np.zeros_like(votes)
+    rates, prior, given = np.zeros((k, 2)), 0.5, (0.0, 0.0)
     for turn in range(rounds):
         prior = float(np.clip(post.mean(), 1e-4, 1 - 1e-4))
-        for y, share in ((0, 1 - post), (1, post)):
-            rates[:, y] = (share @ votes + 0.1) / (share.sum() + 1.0)
+        shares = (1 - post, post)
+        ones, sizes = [w @ votes for w in shares], [float(w.sum()) for w in shares]
+        rates = np.stack([(ones[y] + 0.1) / (sizes[y] + 1.0) for y in (0, 1)], axis=1)
         if turn % 5 == 0:
-            gap = votes - (np.outer(1 - post, rates[:, 0]) + np.outer(post, rates[:, 1]))
-            cov = gap.T @ gap / n
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = np.abs(cov / np.outer(sd, sd))
-            corr[corr < max(0.25, 4 / np.sqrt(n))] = 0  # the rest is within the noise of so few rows
-            discounts = 1 / np.maximum(1.0, corr.sum(axis=1))
-        on, off = np.log(rates[:, 1] / rates[:, 0]), np.log((1 - rates[:, 1]) / (1 - rates[:, 0]))
-        logit = np.log(prior / (1 - prior)) + votes @ ((on - off) * discounts) + (off * discounts).sum()
+            both = [votes.T @ (w[:, None] * votes) for w in shares]
+            parents = tree(both, ones, sizes)
+            joined = votes * votes[:, parents] * (parents >= 0)
+        # log P(vote | parent's vote, class 1) - log P(vote | parent's vote, class 0), as a constant and weights of votes and of both.
+        alone, above, together, base = np.zeros(k), np.zeros(k), np.zeros(k), 0.0
+        for y, sign in ((0, -1), (1, 1)):
+            fired, of_parent = shares[y] @ joined, ones[y][parents] * (parents >= 0)
+            on = (fired + 2 * rates[:, y]) / (of_parent + 2)
+            off = (ones[y] - fired + 2 * rates[:, y]) / (sizes[y] - of_parent + 2)
+            on, off = np.clip(on, 1e-6, 1 - 1e-6), np.clip(off, 1e-6, 1 - 1e-6)
+            base += sign * np.log(1 - off).sum()
+            alone += sign * (np.log(off) - np.log(1 - off))
+            above += sign * (np.log(1 - on) - np.log(1 - off)) * (parents >= 0)
+            together += sign * (np.log(on) - np.log(1 - on) - np.log(off) + np.log(1 - off)) * (parents >= 0)
+        weight = alone.copy()
+        np.add.at(weight, parents[parents >= 0], above[parents >= 0])
+        logit = np.log(prior / (1 - prior)) + base + votes @ weight + joined @ together
         if known is not None:
-            logit += np.where(known > 0.5, np.log(LABELLED[1] / LABELLED[0]), np.log((1 - LABELLED[1]) / (1 - LABELLED[0])))
+            given = tuple(float((shares[y] @ known + BELIEVED[y]) / (sizes[y] + ROWS)) for y in (0, 1))
+            logit += np.where(known > 0.5, np.log(given[1] / given[0]), np.log((1 - given[1]) / (1 - given[0])))
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, rates, discounts, prior
+    return Labels(post, rates, parents, given, prior)
 
 
 def linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 400) -> np.ndarray:
@@ -124,11 +179,10 @@ def _cut(logits: np.ndarray, positive: np.ndarray) -> float:
     return float(z[best] - 1.0 if best + 1 == len(z) else (z[best] + z[best + 1]) / 2)
 
 
-def fit(labelled: DataFrame, most: int = FIT_ROWS) -> Model:
+def fit(labelled: DataFrame) -> Model:
     """A model from `labelled` (doc_id, text, toxic). Rows without a label are ignored; with one class only, nothing is toxic.
 
-    At most about `most` rows are used, those with the least hashes of doc_id, so the driver holds a bounded
-    matrix of votes whatever the size of the input."""
+    `labelled` is a sample, so the driver holds a bounded matrix of votes whatever the size of the input."""
     rows = labelled.where("toxic is not null").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     counts = rows.agg(F.count("*"), F.sum("toxic")).first()
     n, n_toxic = counts[0] or 0, counts[1] or 0
@@ -150,9 +204,7 @@ def fit(labelled: DataFrame, most: int = FIT_ROWS) -> Model:
     lift = F.log((F.col("a") + 0.5) / (n_toxic + 1.0) / rate)
     sigmas = (F.col("a") - n_toxic * rate) / F.sqrt(n_toxic * rate)
     mined = counted.where((F.col("a") >= SUPPORT) & (sigmas > SIGMAS) & (lift > 1.5)).orderBy((F.col("a") * lift).desc(), "feature").limit(VOTERS).select("feature").collect()
-    names = [r[0] for r in mined]
-    if not names:
-        return Model()
+    names = sorted({r[0] for r in mined} | {"=" + x for x in LEXICON})
     place = {x: i for i, x in enumerate(names)}
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,22 +219,17 @@ def fit(labelled: DataFrame, most: int = FIT_ROWS) -> Model:
     for i, fired in enumerate(table["fired"].to_pylist()):
         votes[i, fired] = 1
     known = table["toxic"].to_numpy().astype(float)
-    post, rates, discounts, prior = label_model(votes, 0.05 + 0.9 * known, known=known)
-    if np.corrcoef(post, known)[0, 1] < 0.3:  # the votes say little: keep to the labels
-        post = known
-    w = linear(votes, post)
-    w[-1] -= _cut(votes @ w[:-1] + w[-1], post > 0.5)
+    found = label_model(votes, 0.05 + 0.9 * known, known=known)
+    w = linear(votes, found.post)
+    w[-1] -= _cut(votes @ w[:-1] + w[-1], found.post > 0.5)
     both = [*names, *PATTERNS]
-    return Model(dict(zip(names, w.tolist(), strict=False)), w[len(names) : -1].tolist(), float(w[-1]), {x: tuple(r) for x, r in zip(both, rates.tolist(), strict=True)}, dict(zip(both, discounts.tolist(), strict=True)), prior)
+    depend = {both[i]: both[j] for i, j in enumerate(found.parents.tolist()) if j >= 0}
+    return Model(dict(zip(names, w.tolist(), strict=False)), w[len(names) : -1].tolist(), float(w[-1]), {x: tuple(r) for x, r in zip(both, found.rates.tolist(), strict=True)}, depend, found.label_rates, found.prior)
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
-    """doc_id, text, toxic of at most about `most` labelled rows, by a hash of doc_id; labels that repeat are averaged."""
-    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    n = marks.count()
-    if n > most:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")  # about `most` rows
+    """doc_id, text, toxic of at most about `most` labelled rows, by hashes; labels that repeat are averaged, equal rows taken once."""
+    return labelled_sample(docs, labels, "toxic", most)
 
 
 def held_out(doc_id: Column, mod: int = 5, rest: int = 0) -> Column:
@@ -206,7 +253,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFr
     Held-out rows (crc32 of doc_id mod 5 is 0) are never learnt from, and a score sees nothing but the text. A null text is
     scored as an empty one; rows that repeat score alike; without labels of both classes every score is low.
     Other columns are ignored; no rows give no rows."""
-    model = fit(sample(docs, labels.where(~held_out(F.col("doc_id"))), most), most)
+    model = fit(sample(docs, labels.where(~held_out(F.col("doc_id"))), most))
     score = scorer(model)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
     return rows.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))

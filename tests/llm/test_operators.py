@@ -147,15 +147,28 @@ def test_toxicity_without_labels(spark, docs, nothing):
     assert toxicity.toxicity(nothing, none).count() == 0
 
 
-def test_label_model_finds_accuracies_and_discounts_copies():
+def test_label_model_finds_accuracies_and_dependences():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
     good = (y & (rng.random(4000) < 0.8)) | (~y & (rng.random(4000) < 0.02))
     other = (y & (rng.random(4000) < 0.6)) | (~y & (rng.random(4000) < 0.05))
-    votes = np.stack([good, good, other], axis=1).astype(float)
-    post, rates, discounts, prior = toxicity.label_model(votes, 0.1 + 0.8 * good)
-    assert abs(rates[0, 1] - 0.8) < 0.1 and rates[0, 0] < 0.1 and discounts[0] < 0.7 < discounts[2] + 0.01
-    assert ((post > 0.5) == y).mean() > 0.9
+    third = (y & (rng.random(4000) < 0.7)) | (~y & (rng.random(4000) < 0.04))
+    votes = np.stack([good, good, other, third], axis=1).astype(float)
+    given = y ^ (rng.random(4000) < np.where(y, 0.25, 0.03))
+    found = toxicity.label_model(votes, 0.1 + 0.8 * given, known=given.astype(float))
+    assert abs(found.rates[0, 1] - 0.8) < 0.05 and abs(found.rates[2, 1] - 0.6) < 0.05 and (found.rates[:, 0] < 0.1).all()
+    assert abs(found.label_rates[1] - 0.75) < 0.1 and abs(found.label_rates[0] - 0.03) < 0.02  # estimated, not believed
+    assert found.parents[1] == 0 or found.parents[0] == 1  # the copy
+    assert ((found.post > 0.5) == y).mean() > 0.96
+    assert ((found.post > 0.5) == y).mean() > (given == y).mean()
+
+
+def test_samples_are_bounded(spark):
+    """Many rows of one labelled id, equal or not, don't make a sample larger."""
+    frame = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("same")).otherwise(F.col("id").cast("string")).alias("text"))
+    marks = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.sample(frame, marks, 100).collect()
+    assert 50 < len(got) < 150 and all(r.toxic == 1 for r in got)
 
 
 # --- 3
@@ -553,7 +566,7 @@ def test_classes_stay_toxic_and_clean_beside_a_strong_other_split():
     votes = np.zeros((n, 60))
     votes[:, :10] = (toxic & ~other)[:, None] & (rng.random((n, 10)) < 0.4)
     votes[:, 10:] = (toxic & other)[:, None] & (rng.random((n, 50)) < 0.5)
-    post = toxicity.label_model(votes, 0.05 + 0.9 * toxic, known=toxic.astype(float))[0]
+    post = toxicity.label_model(votes, 0.05 + 0.9 * toxic, known=toxic.astype(float)).post
     fired = votes.any(axis=1)
     assert ((post > 0.5) == toxic)[fired | ~toxic].all()
     w = toxicity.linear(votes, post)
