@@ -2,8 +2,9 @@
 
 Each line becomes a set of yes/no features. The field scores a line as content or boilerplate from its features and from the label of
 the line before; Viterbi decoding gives the best labelling of all lines of a text, and the share of its words that
-stand in content lines decides whether it is kept. The field is trained here by maximum likelihood, with the quality label of a
-text as the weak label of its lines.
+stand in content lines decides whether it is kept. The field is trained here by maximum likelihood on weak labels of lines: what
+lines of the same features say (how much more often they stand in good texts than in bad ones) and the quality label
+of the text, so one text may have lines of both kinds and the field sees where they change.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, labelled_sample, slices
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -25,6 +26,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT = 20, 8, 30
 #: Train on at most about this many labelled texts, by a hash of doc_id.
 FIT_ROWS = 3_000
+#: Lines of a chain in training; evidence, in lines, of single features; how many times as frequent in the other class lines must be that aren't labelled as their text.
+SEGMENT, SMOOTHED, OVERRULED = 256, 4.0, 4.0
 FEATURES = ("one word", "2 to 4 words", "5 to 14 words", "15 or more words", "ends a sentence", "repeated line", "many symbols", "bars", "shouting", "exclaiming", "digits", "web or legal words", "long words", "short words", "repeated words")
 WEB = re.compile(r"https?:|www\.|@|©|\b(?:cookies?|privacy|copyright|log ?in|sign ?up|subscribe|click|javascript|terms of (?:use|service)|all rights reserved|share this|read more)\b", re.I).search
 DIGITS = re.compile(r"\d").findall
@@ -127,50 +130,54 @@ def _bits(masks: np.ndarray) -> np.ndarray:
     return (masks[:, None] >> np.arange(len(FEATURES)) & 1).astype(float)
 
 
-def train(texts: list[list[int]], labels: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> Field:
-    """A field of maximum likelihood by gradient ascent with forward and backward sums over all texts at once.
+def line_labels(texts: list[list[int]], good: np.ndarray) -> list[np.ndarray]:
+    """Weak labels, 1 for content, of the lines of each text.
 
-    texts: line features; labels: 1 if the lines count as content. Both classes weigh the same."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    texts, labels = [texts[i] for i in order], labels[order]
+    Lines of equal features are counted in good and in bad texts, each class weighing the same, and smoothed by what their single features say;
+    a line's label is that of its text unless lines like it are OVERRULED times as frequent in the other class."""
+    used, at = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in texts]), return_inverse=True)
     lengths = np.array([len(x) for x in texts])
+    kind = np.repeat(good, lengths)
+    seen = np.stack([np.bincount(at[kind == y], minlength=len(used)) for y in (0, 1)]).astype(float)
+    size = np.maximum(seen.sum(axis=1, keepdims=True), 1)
+    bits = _bits(used)
+    rate = (seen @ bits + 0.5) / (size + 1)
+    single = bits @ np.log(rate[1] / rate[0]) + (1 - bits) @ np.log((1 - rate[1]) / (1 - rate[0]))
+    prior = 1 / (1 + np.exp(-np.clip(single, -3, 3)))  # of so many lines of either class
+    log_odds = np.log((seen[1] / size[1] * size.mean() + SMOOTHED * prior) / (seen[0] / size[0] * size.mean() + SMOOTHED * (1 - prior)))
+    label = (log_odds[at] + np.where(kind == 1, 1, -1) * np.log(OVERRULED) > 0).astype(np.int64)
+    return np.split(label, np.cumsum(lengths)[:-1])
+
+
+def train(texts: list[list[int]], good: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> Field:
+    """A field of maximum likelihood by gradient ascent with forward and backward sums over many texts at once.
+
+    texts: line features; good: 1 for texts of good quality, whose lines' labels are those of `line_labels`. Both classes of texts weigh the
+    same. Longer texts are chains of SEGMENT lines, and chains of like lengths are summed together, so a grid has at most
+    twice as many places as there are lines."""
+    weight = np.where(good == 1, 0.5 / max(1, (good == 1).sum()), 0.5 / max(1, (good == 0).sum())) / np.array([len(x) for x in texts])
     used, at = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in texts]), return_inverse=True)
-    starts = np.concatenate(([0], np.cumsum(lengths)))
-    grid = np.full((lengths[0], len(texts)), -1)
-    for i in range(len(texts)):
-        grid[: lengths[i], i] = at[starts[i] : starts[i + 1]]
-    alive = [int((lengths > t).sum()) for t in range(lengths[0])]
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) / lengths
+    chains, start = [], 0
+    for x, y, w in zip(texts, line_labels(texts, good), weight, strict=True):
+        ids = at[start : start + len(x)]
+        chains += [(ids[i : i + SEGMENT], y[i : i + SEGMENT], w) for i in range(0, len(x), SEGMENT)]
+        start += len(x)
     bits = _bits(used)
+    by_size: dict[int, list] = {}
+    for chain in chains:
+        by_size.setdefault(len(chain[0]).bit_length(), []).append(chain)
+    grids = [_grid(sorted(x, key=lambda c: -len(c[0]))) for x in by_size.values()]
+    wanted, wanted_moves = np.zeros((len(used), 2)), np.zeros((2, 2))
+    for ids, y, w in chains:
+        np.add.at(wanted, (ids, y), w)
+        np.add.at(wanted_moves, (y[:-1], y[1:]), w)
     params = np.zeros((len(FEATURES) + 3, 2))
     first, second = np.zeros_like(params), np.zeros_like(params)
-    wanted = np.zeros((len(used), 2))
-    for t, n in enumerate(alive):
-        np.add.at(wanted, (grid[t, :n], labels[:n]), weight[:n])
-    wanted_moves = np.zeros((2, 2))
-    np.add.at(wanted_moves, (labels, labels), weight * (lengths - 1))
     for step in range(1, rounds + 1):
         emit, moves = bits @ params[:-3] + params[-3], params[-2:]
-        forward = [emit[grid[0]]]
-        for t in range(1, len(alive)):
-            n = alive[t]
-            forward.append(np.logaddexp(forward[-1][:n, :1] + moves[0], forward[-1][:n, 1:] + moves[1]) + emit[grid[t, :n]])
         got, got_moves = np.zeros_like(wanted), np.zeros((2, 2))
-        back = np.zeros((0, 2))
-        for t in range(len(alive) - 1, -1, -1):
-            n = alive[t]
-            after = np.zeros((n, 2))
-            if len(back):
-                m = len(back)
-                ahead = back + emit[grid[t + 1, :m]]
-                after[:m] = np.logaddexp(moves[:, 0] + ahead[:, :1], moves[:, 1] + ahead[:, 1:])
-                pair = forward[t][:m, :, None] + moves + ahead[:, None, :]
-                pair = np.exp(pair - pair.max(axis=(1, 2), keepdims=True))
-                got_moves += (pair / pair.sum(axis=(1, 2), keepdims=True) * weight[:m, None, None]).sum(axis=0)
-            both = forward[t] + after
-            p = np.exp(both - both.max(axis=1, keepdims=True))
-            np.add.at(got, grid[t, :n], p / p.sum(axis=1, keepdims=True) * weight[:n, None])
-            back = after
+        for grid in grids:
+            _expect(*grid, emit, moves, got, got_moves)
         gap = wanted - got
         slope = np.vstack([bits.T @ gap, gap.sum(axis=0), wanted_moves - got_moves]) - ridge * params
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
@@ -178,8 +185,40 @@ def train(texts: list[list[int]], labels: np.ndarray, rounds: int = 60, ridge: f
     return Field(params[:-3], params[-3], params[-2:])
 
 
-def fit(labelled: DataFrame, most: int = FIT_ROWS) -> Field | None:
-    """A field from `labelled` (doc_id, text, quality), about `most` rows of it by a hash of doc_id, so the driver's share is bounded.
+def _grid(chains: list[tuple]) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """(feature sets, a column for each chain, the longest first; chains alive at each line; weights)."""
+    lengths = np.array([len(ids) for ids, _, _ in chains])
+    grid = np.full((lengths[0], len(chains)), -1)
+    for i, (ids, _, _) in enumerate(chains):
+        grid[: len(ids), i] = ids
+    return grid, [int((lengths > t).sum()) for t in range(lengths[0])], np.array([w for _, _, w in chains])
+
+
+def _expect(grid: np.ndarray, alive: list[int], weight: np.ndarray, emit: np.ndarray, moves: np.ndarray, got: np.ndarray, got_moves: np.ndarray) -> None:
+    """Adds the expected labels of feature sets and moves of the chains of a grid to `got` and `got_moves`."""
+    forward = [emit[grid[0]]]
+    for t in range(1, len(alive)):
+        n = alive[t]
+        forward.append(np.logaddexp(forward[-1][:n, :1] + moves[0], forward[-1][:n, 1:] + moves[1]) + emit[grid[t, :n]])
+    back = np.zeros((0, 2))
+    for t in range(len(alive) - 1, -1, -1):
+        n = alive[t]
+        after = np.zeros((n, 2))
+        if len(back):
+            m = len(back)
+            ahead = back + emit[grid[t + 1, :m]]
+            after[:m] = np.logaddexp(moves[:, 0] + ahead[:, :1], moves[:, 1] + ahead[:, 1:])
+            pair = forward[t][:m, :, None] + moves + ahead[:, None, :]
+            pair = np.exp(pair - pair.max(axis=(1, 2), keepdims=True))
+            got_moves += (pair / pair.sum(axis=(1, 2), keepdims=True) * weight[:m, None, None]).sum(axis=0)
+        both = forward[t] + after
+        p = np.exp(both - both.max(axis=1, keepdims=True))
+        np.add.at(got, grid[t, :n], p / p.sum(axis=1, keepdims=True) * weight[:n, None])
+        back = after
+
+
+def fit(labelled: DataFrame) -> Field | None:
+    """A field from `labelled` (doc_id, text, quality), a sample, so the driver's share is bounded.
 
     The least content share of a kept text is the one that parts the two classes best. None unless both classes occur."""
     rows = labelled.where("quality is not null and text is not null").select(F.col("doc_id").cast("long"), "text", (F.col("quality") > 0).cast("int").alias("quality"))
@@ -212,12 +251,8 @@ def base_failed(counts: tuple[int, ...]) -> bool:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
-    """doc_id, text, quality of at most about `most` labelled rows, by a hash of doc_id; labels that repeat are averaged."""
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    n = marks.count()
-    if n > most:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")  # about `most` rows
+    """doc_id, text, quality of at most about `most` labelled rows, by hashes; labels that repeat are averaged, equal rows taken once."""
+    return labelled_sample(docs, labels, "quality", most)
 
 
 def quality(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
@@ -226,16 +261,16 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFra
     A null, empty or blank text has no words, fails the base rules and has a null content share; without labels of both classes the base
     rules decide alone. A text of any length is read whole; rows that repeat are judged alike. Other columns are ignored; no rows
     give no rows."""
-    field = fit(sample(docs, labels, most), most)
+    field = fit(sample(docs, labels, most))
     kind = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,base_failed:boolean,content_share:double>"
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share"]
 
     @F.arrow_udf(kind)
     def judge(texts: pa.Array) -> pa.Array:
         rows = []
-        for at in range(0, len(texts), 1024):
-            for text in texts[at : at + 1024].to_pylist():
-                counts, masks, sizes = examine(text or "")
+        for part in slices(texts):
+            for text in part:
+                counts, masks, sizes = examine(text)
                 share = field.share(masks, sizes) if field else (1.0 if masks else None)
                 rows.append((*counts, base_failed(counts), share))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 7

@@ -354,6 +354,39 @@ def test_viterbi_equals_the_best_of_all_labellings():
         assert field.decode(masks).tolist() == best
 
 
+def test_the_field_learns_where_lines_change():
+    """Boilerplate lines at the end of good texts are labelled and decoded as such, though their texts are good; long texts are trained in chains."""
+    rng = np.random.default_rng(5)
+    content, junk = 1 << quality.FEATURES.index("15 or more words") | 1 << quality.FEATURES.index("ends a sentence"), 1 << quality.FEATURES.index("web or legal words")
+    texts = [[content] * int(rng.integers(4, 12)) + [junk] * 2 for _ in range(80)] + [[junk] * int(rng.integers(3, 9)) for _ in range(80)] + [[content] * 700]
+    good = np.array([1] * 80 + [0] * 80 + [1])
+    marks = quality.line_labels(texts, good)
+    assert [len(x) for x in marks] == [len(x) for x in texts] and marks[0].tolist() == [1] * (len(texts[0]) - 2) + [0, 0] and not marks[100].any()
+    field = quality.train(texts, good)
+    assert field.decode(texts[0]).tolist() == marks[0].tolist()
+    assert field.moves[0, 1] != field.moves[0, 0] and field.share(texts[0], [1] * len(texts[0])) < 1
+
+
+def test_gradients_equal_those_of_all_labellings():
+    """Expected labels and moves of chains of different lengths, against sums over all labellings."""
+    rng = np.random.default_rng(2)
+    emit, moves = rng.normal(size=(5, 2)), rng.normal(size=(2, 2))
+    chains = sorted(((rng.integers(0, 5, n), None, w) for n, w in ((4, 0.3), (1, 0.5), (3, 0.2))), key=lambda c: -len(c[0]))
+    got, got_moves = np.zeros((5, 2)), np.zeros((2, 2))
+    quality._expect(*quality._grid(chains), emit, moves, got, got_moves)
+    want, want_moves = np.zeros((5, 2)), np.zeros((2, 2))
+    for ids, _, w in chains:
+        n = len(ids)
+        every = [[k >> i & 1 for i in range(n)] for k in range(1 << n)]
+        p = np.exp([sum(emit[ids[i], y[i]] for i in range(n)) + sum(moves[y[i], y[i + 1]] for i in range(n - 1)) for y in every])
+        for y, share in zip(every, w * p / p.sum(), strict=True):
+            for i in range(n):
+                want[ids[i], y[i]] += share
+            for i in range(n - 1):
+                want_moves[y[i], y[i + 1]] += share
+    assert np.allclose(got, want) and np.allclose(got_moves, want_moves)
+
+
 # --- 6
 
 
