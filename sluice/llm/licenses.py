@@ -1,18 +1,24 @@
 """License scans: sparse TF-IDF cosine of notices and licence files to templates, then inheritance from the nearest directory.
 
-A passage is a line that names a licence, alone and with the two lines after it; the whole text of a licence file is one more,
-in runs of PASSAGE words. Passages and templates are vectors of word weights; document frequencies count every file of the corpus whose
-whole text has the word. The
-cosine comes from a join on words with the few templates. A file without a licence of its own takes that of the
+Each template is compared with every run of as many words, anywhere in a text. Runs that can't reach the threshold aren't looked at: the most
+frequent words of a template, together too light for it, are left aside, and by Cauchy and Schwarz a run without any of the
+others, the template's cues, stays below. So texts are searched for cues, and only the words around a cue are weighed, by their
+document frequencies over the whole texts of all files. A file without a licence of its own takes that of the
 nearest directory above it that holds a licence file, found by joining paths.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import small, split_join, stored
 
 #: The notices by which files are usually marked, after the licences' own words.
 TEMPLATES = {
@@ -31,74 +37,149 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 }
-#: What a line must say to be looked at.
-CUE = r"(?i)licen[cs]e|copying permitted|spdx|permission (?:is hereby granted|to use)|redistribution and use|public domain|creative commons|\bCC[ -]?(?:BY|0)\b|general public"
 #: Base names of licence files.
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense|notice)(?:[.-][a-z0-9.-]*)?$"
-THRESHOLD = 0.6
-#: A passage has at most so many words; longer ones are cut into runs of as many, none left out.
-PASSAGE = 60
+#: A run must reach the cosine beside the first number that its template's words are at least: few words say little.
+THRESHOLDS = ((8, 0.6), (4, 0.75), (0, 0.9))
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:\.[0-9]+)*"), F.lit(0))
-
+    """The words of a text without tags and entities, lower-cased; none for null."""
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>\r\n]*>|&[a-z]+;", " ")
+    return F.regexp_extract_all(F.lower(clean), F.lit(r"[\p{L}\p{N}]+(?:\.[0-9]+)*"), F.lit(0))
 
-def templates(spark: SparkSession) -> DataFrame:
-    """template, license, words."""
-    rows = [(f"{k}/{i}", k, text) for k, texts in TEMPLATES.items() for i, text in enumerate(texts)]
-    return spark.createDataFrame(rows, "template string, license string, text string").select("template", "license", _words(F.col("text")).alias("words"))
 
+def words_of(text: str) -> list[str]:
+    """The words of a template, cut as those of files."""
+    import regex
 
-def passages(files: DataFrame) -> DataFrame:
-    """file, words of each passage of `files` (file, path, text) that may be a notice; licence files give all their words."""
-    lines = F.split(F.coalesce("text", F.lit("")), r"\r\n|[\r\n]|(?i)</p>|<br */?>|</li>|</div>")
-    cued = F.transform(F.filter(F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda s: s["line"].rlike(CUE)), lambda s: F.concat_ws(" ", F.filter(F.slice("lines", s["i"] + 1, 3), lambda x: F.length(F.trim(x)) > 0)))
-    alone = F.filter("lines", lambda x: x.rlike(CUE))
-    whole = F.when(F.coalesce(F.col("path"), F.lit("")).rlike(LICENCE_FILE), F.array(F.coalesce("text", F.lit("")))).otherwise(F.array().cast("array<string>"))
-    rows = files.withColumn("lines", lines).select("file", F.explode(F.array_distinct(F.concat(alone, cued, whole))).alias("passage"))
-    clean = F.regexp_replace("passage", "<[^>]*>|&[a-z]+;", " ")
-    rows = rows.select("file", _words(clean).alias("words")).where(F.size("words") > 0)
-    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size("words") / PASSAGE).cast("int") - 1), lambda k: F.slice("words", k * PASSAGE + 1, PASSAGE))
-    return rows.select("file", F.explode(runs).alias("words"))
+    return regex.findall(r"[\p{L}\p{N}]+(?:\.[0-9]+)*", text.lower())
 
 
 def frequencies(files: DataFrame) -> DataFrame:
-    """word, df: in how many of `files` (file, text) the whole text has the word. Rows that share a file count once."""
-    words = F.explode(F.array_distinct(_words(F.regexp_replace(F.coalesce("text", F.lit("")), r"<[^>\r\n]*>|&[a-z]+;", " ")))).alias("word")
-    shared = small(stored(files.groupBy("file").count().where("count > 1").select("file"), "shared-files"))
-    one = files.join(shared, "file", "left_anti").select(words)
-    more = files.join(shared, "file", "left_semi").select("file", words).distinct().select("word")
-    return one.unionByName(more).groupBy("word").agg(F.count("*").alias("df"))
+    """word, df: in how many rows of `files` (text) the whole text has the word."""
+    return files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+
+
+@dataclass
+class Template:
+    """A licence's notice: its words' weights, of length one, how many words it has, what cosine a run must reach."""
+
+    license: str
+    weights: dict[str, float]
+    size: int
+    threshold: float
+
+    def cues(self) -> set[str]:
+        """The words of which a run must have one to reach the threshold: all but the lightest that together stay below it."""
+        left, out = 0.0, set()
+        for word, w in sorted(self.weights.items(), key=lambda x: (x[1], x[0])):
+            left += w * w
+            if left >= self.threshold**2 - 1e-9:
+                out.add(word)
+        return out
+
+
+def idf(df: int, rows: int) -> float:
+    """The weight of a word of `df` files out of `rows`; one that no file has counts as one of one file."""
+    return math.log((rows + 1.0) / (max(df, 1) + 1.0)) + 1.0
+
+
+def damped(n: int) -> float:
+    """What a word that stands n times in a run counts."""
+    return 1.0 + math.log(n) if n else 0.0
+
+
+def weighted(df: dict[str, int], rows: int) -> list[Template]:
+    """TEMPLATES with the weights that document frequencies give."""
+    out = []
+    for name, texts in TEMPLATES.items():
+        for text in texts:
+            words = words_of(text)
+            weights = {w: damped(n) * idf(df.get(w, 0), rows) for w, n in Counter(words).items()}
+            norm = math.sqrt(sum(x * x for x in weights.values()))
+            out.append(Template(name, {w: x / norm for w, x in weights.items()}, len(words), next(t for n, t in THRESHOLDS if len(words) >= n)))
+    return out
+
+
+def best_run(template: Template, words: list[str], weights: list[float], at: int) -> float:
+    """The largest cosine of the template with a run of its length that has the word at `at`; runs end with the text.
+
+    Sums are those of the words that come and go while the run moves on."""
+    size, best, dot, square = template.size, 0.0, 0.0, 0.0
+    counts: dict[str, int] = {}
+    first = max(0, at - size + 1)
+    last = first
+    for start in range(first, at + 1):
+        end = min(len(words), start + size)
+        for i, more in [(i, 1) for i in range(last, end)] + [(i, -1) for i in range(max(first, start - 1), start)]:
+            word = words[i]
+            n = counts.get(word, 0)
+            counts[word] = n + more
+            was, now = weights[i] * damped(n), weights[i] * damped(n + more)
+            dot += (now - was) * template.weights.get(word, 0.0)
+            square += now * now - was * was
+        last = end
+        best = max(best, dot / math.sqrt(max(square, 1e-12)))
+    return round(best, 9)
+
+
+def surroundings(files: DataFrame, templates: list[Template]) -> DataFrame:
+    """row, file, path and, for each cue in a text, its word, the words around it (`words`) and its place among them (`at`); one more row, without words, of each of `files`.
+
+    row names a row of `files` in this table, whose rows of one row of `files` are written by one task."""
+    reach: dict[str, int] = {}
+    for t in templates:
+        for cue in t.cues():
+            reach[cue] = max(reach.get(cue, 0), t.size)
+    span = F.create_map(*[x for cue, n in sorted(reach.items()) for x in (F.lit(cue), F.lit(n))])[F.col("cue")]
+    rows = files.select(F.monotonically_increasing_id().alias("row"), "file", F.regexp_replace("path", "/+", "/").alias("path"), _words(F.col("text")).alias("all"))
+    rows = rows.select("*", F.posexplode(F.concat("all", F.array(F.lit("")))).alias("pos", "cue")).where(F.col("cue").isin("", *reach))
+    start = F.greatest(F.lit(0), F.col("pos") - span + 1)
+    found = F.when(F.col("cue") != "", F.slice("all", start + 1, F.col("pos") + span - start))
+    return stored(rows.select("row", "file", "path", "cue", found.alias("words"), (F.col("pos") - start).alias("at")), "surroundings")
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """file, own_license, own_cosine, license, inherited_from, depth of each row of `files` (file, path, text).
+    """file, path, own_license, own_cosine, license, inherited_from, depth of each row of `files` (file, path, text).
 
-    file identifies a row; rows that share one are scanned together. own_license is the template's of the largest cosine of any passage, if at least
-    THRESHOLD; equal cosines go to the first name. Otherwise license is that of the nearest directory, the file's own first, with a
+    Rows are scanned one by one, whatever they share. own_license is that of the template with the largest cosine of any run of words, if a run
+    reaches its template's threshold; equal cosines go to the first name. Otherwise license is that of the nearest directory, the file's own first, with a
     licence file that has one; depth counts the directories between (null if own or none). A null path is in no directory; a
-    null or empty text has no passage. Other columns are ignored; no rows give no rows."""
-    spark = files.sparkSession
-    rows = files.select("file", F.regexp_replace("path", "/+", "/").alias("path"), "text")
-    found = stored(passages(rows), "passages")
-    corpus = rows.select("file").distinct().count()
-    known = stored(templates(spark), "templates")
-    # Equal passages are compared once.
-    texts = stored(found.groupBy("words").agg(F.count("*").alias("uses")).withColumn("passage", F.xxhash64("words")), "texts")
-    used = known.select(F.explode("words").alias("word")).unionByName(texts.select(F.explode("words").alias("word"))).distinct()
-    weight = F.log(F.lit(corpus + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    idf = small(stored(used.join(frequencies(rows), "word", "left").select("word", weight.alias("idf")), "idf"))
-    vector = known.select("template", "license", F.explode("words").alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("tf")).join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = vector.groupBy("template").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    vector = stored(vector.join(norms, "template").select("word", "template", "license", (F.col("w") / F.col("norm")).alias("tw")), "vectors")
-    parts = texts.select("passage", F.explode("words").alias("word")).groupBy("passage", "word").agg(F.count("*").alias("tf")).join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
-    length = parts.groupBy("passage").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    dots = parts.join(F.broadcast(vector), "word").groupBy("passage", "license", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    best = dots.join(length, "passage").select("passage", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).groupBy("passage").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license"))).alias("m")).select("passage", (-F.col("m.c")).alias("cosine"), "m.license").where(F.col("cosine") >= THRESHOLD)
+    null or empty text has no run, and the end of a text ends a run that would be longer. Other columns are ignored; no rows give no rows."""
+    corpus = files.count()
+    # Words of one file are left out: a word that is missing counts as one of them.
+    known = stored(frequencies(files).where("df > 1"), "frequencies")
+    mine = sorted({w for texts in TEMPLATES.values() for text in texts for w in words_of(text)})
+    templates = weighted({r["word"]: r["df"] for r in known.where(F.col("word").isin(*mine)).collect()}, corpus)
+    around = surroundings(files, templates)
+    # Equal surroundings are compared once.
+    found = around.where("cue <> ''").select("row", "cue", "words", "at", F.xxhash64("words", "at").alias("passage"))
+    texts = stored(found.groupBy("passage").agg(F.any_value("words").alias("words"), F.any_value("at").alias("at"), F.any_value("cue").alias("cue")), "passages")
+    slots = texts.select("passage", F.posexplode("words").alias("i", "word"))
+    uses = slots.groupBy("word").agg(F.count("*").alias("uses")).join(known, "word", "left").select("word", "uses", F.coalesce("df", F.lit(1)).alias("df"))
+    frequent = split_join(slots, stored(uses, "used"), "word", "uses").groupBy("passage").agg(F.array_sort(F.collect_list(F.struct("i", "df"))).alias("df"))
+    shared = files.sparkSession.sparkContext.broadcast((templates, corpus))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows = shared.value
+        by: dict[str, list[Template]] = {}
+        for t in own:
+            for cue in t.cues():
+                by.setdefault(cue, []).append(t)
+        for batch in batches:
+            out = []
+            for passage, words, at, cue, df in zip(*(batch.column(c).to_pylist() for c in ("passage", "words", "at", "cue", "df")), strict=True):
+                weights = [idf(x, rows) for x in df]
+                runs = [(-c, t.license) for t in by[cue] if (c := best_run(t, words, weights, at)) >= t.threshold]
+                if runs:
+                    out.append((passage, min(runs)[1], -min(runs)[0]))
+            yield pa.RecordBatch.from_pylist([dict(zip(("passage", "license", "cosine"), x, strict=True)) for x in out], pa.schema([("passage", pa.int64()), ("license", pa.string()), ("cosine", pa.float64())]))
+
+    best = texts.join(frequent, "passage").select("passage", "words", "at", "cue", F.col("df.df").alias("df")).mapInArrow(compare, "passage long, license string, cosine double")
     best = stored(best, "best")
-    own = found.withColumn("passage", F.xxhash64("words")).join(small(best), "passage").groupBy("file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("m")).select("file", F.col("m.license").alias("own_license"), (-F.col("m.c")).alias("own_cosine"))
-    judged = stored(rows.select("file", "path").join(own, "file", "left"), "judged")
+    own = found.select("row", "passage").join(small(best), "passage").groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("m")).select("row", F.col("m.license").alias("own_license"), (-F.col("m.c")).alias("own_cosine"))
+    judged = stored(around.where("cue = ''").select("row", "file", "path").join(own, "row", "left"), "judged")
     folder = F.regexp_replace("path", "[^/]*$", "")
     granted = judged.where(F.col("path").rlike(LICENCE_FILE) & F.col("own_license").isNotNull()).groupBy(folder.alias("folder")).agg(F.min(F.struct((-F.col("own_cosine")).alias("c"), F.col("own_license").alias("given"), F.col("path").alias("by"))).alias("m")).select("folder", "m.given", "m.by")
     granted = stored(granted, "granted")

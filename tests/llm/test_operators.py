@@ -613,11 +613,48 @@ def test_licenses_weigh_words_by_whole_texts(spark):
     files = [("a", "y/a", "This software is released under the MIT License, see the LICENSE file."), ("c", "y/c", "See this file for all of us: it is software released under the MIT License."), *prose, prose[0], ("n", "y/n", None)]
     df = spark.createDataFrame(files, "file string, path string, text string")
     found = {r.word: r.df for r in licenses.frequencies(df).collect()}
-    assert found["this"] == found["see"] == 402 and found["7"] == 1 and found["license"] == 2 and "b" not in found
+    assert found["this"] == found["see"] == 403 and found["7"] == 1 and found["license"] == 2 and "b" not in found
     got = {r.file: r.own_license for r in licenses.scan(df).where("file in ('a', 'c', 'p3', 'n')").collect()}
     assert got == {"a": "MIT", "c": "MIT", "p3": None, "n": None}
 
 
+def test_license_cosines_equal_brute_force(spark):
+    """Every run of every template's length, without cues, against the scan: notices in prose, at ends, changed, cut, doubled; rows that share a file."""
+    rng = random.Random(1)
+    notes = [x for texts in licenses.TEMPLATES.values() for x in texts]
+    own = []
+    for i in range(150):
+        words = rng.choices(WORDS, k=rng.randint(0, 30))
+        note = rng.choice(notes).split()
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            note[rng.randrange(len(note))] = rng.choice([*WORDS[:20], "the", "license", "under"])
+        note = note[: rng.choice([len(note), len(note), 3])]
+        at = rng.randint(0, len(words))
+        own.append(" ".join(words[:at] + (note if i % 3 else []) + words[at:]))
+    own += ["Copyright 2020 Foo Inc. Released under the MIT License.", "All code in this repository is licensed under the Apache License, Version 2.0.", "This article and all its figures are licensed under CC BY-NC 4.0.", "the license of the driver", "MIT", ""]
+    files = [(f"f{i // 2}", f"x/{i}", x) for i, x in enumerate(own)]
+    got = {r.path: (r.own_license, r.own_cosine) for r in licenses.scan(spark.createDataFrame(files, "file string, path string, text string")).collect()}
+    cut = [licenses.words_of(x) for x in own]
+    df: dict = {}
+    for words in cut:
+        for w in set(words):
+            df[w] = df.get(w, 0) + 1
+    weigh = lambda w: licenses.idf(df.get(w, 0), len(own))
+    for i, words in enumerate(cut):
+        best = []
+        for t in licenses.weighted(df, len(own)):
+            for s in range(len(words)):
+                run = words[s : s + t.size]
+                vector = {w: (1 + np.log(run.count(w))) * weigh(w) for w in set(run)}
+                cosine = sum(x * t.weights.get(w, 0) for w, x in vector.items()) / sum(x * x for x in vector.values()) ** 0.5
+                if round(cosine, 9) >= t.threshold:
+                    best.append((-round(cosine, 9), t.license))
+        wanted = (min(best)[1], -min(best)[0]) if best else (None, None)
+        assert got[f"x/{i}"][0] == wanted[0] and (wanted[1] is None or abs(got[f"x/{i}"][1] - wanted[1]) < 1e-6), (own[i], got[f"x/{i}"], wanted)
+    assert [got[f"x/{i}"][0] for i in range(150, 156)] == ["MIT", "Apache-2.0", "CC-BY-NC-4.0", None, None, None]
+    assert len({v for v, _ in got.values()}) > 8
+
+
 def test_shouting_reads_the_whole_text():
     """Capitals count wherever they stand: a calm head hides no shouting, and a loud head makes none."""
     assert toxicity.patterns("a" * 2500 + "A" * 5000)[0] and not toxicity.patterns("A" * 1500 + "a" * 8000)[0]
