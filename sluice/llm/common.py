@@ -63,6 +63,14 @@ def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= bound else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or where `df` has a column of that name in any case, a longer one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a column of texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

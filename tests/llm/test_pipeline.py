@@ -29,7 +29,7 @@ def folder(spark, tmp_path_factory):
         labels.append((i, 1, int(i % 5 == 0)))
     items = [(1, docs[4][1]), (2, " ".join(docs[5][1].split()[3:15])), (3, None)]
     docs.append((500, "x y " + (docs[4][1] or ""), "en", "a", 1))
-    spark.createDataFrame(docs, SCHEMA).withColumn("__extra", F.lit(1)).repartition(3).write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame(docs, SCHEMA).withColumns({x: F.lit(1) for x in ("__extra", "gone_id", "GONE_HASH", "text_hash", "mix_id", "mix_times", "mix_nth", "mix_size", "__id", "__part", "copy")}).repartition(3).write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
     return where, items
