@@ -16,9 +16,10 @@ ORACLE_SQL = None
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id and text aren't those of a row of `gone` (doc_id, text_hash)."""
-    key = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(key, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    """The rows of `docs` whose doc_id and text aren't those of a row of `gone` (doc_id, text_hash). Up to 200 000 of `gone` no text is shuffled."""
+    one, two = common.fresh(docs, "gone_id"), common.fresh(docs, "gone_hash")
+    key = common.small(common.stored(gone.select(F.col("doc_id").alias(one), F.col("text_hash").alias(two)).distinct(), "gone"))
+    return docs.join(key, F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (F.xxhash64("text") == F.col(two)), "left_anti")
 
 
 def clean_of_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,23 +39,27 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if several.isEmpty():
         return _without(docs, gone)
     others = found.where(named).join(several, "group").where("text_hash <> stays").select("doc_id", "text_hash")
-    marked = _without(docs, gone.unionByName(others)).withColumn("__hash", F.xxhash64("text"))
-    return marked.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    name = common.fresh(docs, "text_hash")
+    marked = _without(docs, gone.unionByName(others)).withColumn(name, F.xxhash64("text"))
+    return marked.dropDuplicates(["doc_id", name]).drop(name)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=None)
     return _without(docs, found.where("contaminated"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them, whole; those without a word once. Rows equal in id, source and size alike."""
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
-    taken = mixing.mix(docs, whole=True).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max(times).alias("__times")).where("__times <> 1")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (common.word_count(F.col("text")) == F.col("__size"))
-    rows = docs.join(taken, same, "left").withColumn("__times", F.coalesce("__times", F.lit(1)))
-    return rows.where("__times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__nth")).select(*docs.columns)
+    names = [common.fresh(docs, x) for x in ("mix_id", "mix_source", "mix_size", "mix_times", "mix_nth")]
+    taken = mixing.mix(docs, whole=True).groupBy(*[F.col(x).alias(n) for x, n in zip(("doc_id", "source", "size"), names, strict=False)]).agg(F.max(times).alias(names[3]))
+    taken = common.small(common.stored(taken.where(F.col(names[3]) != 1), "mix-times"))
+    same = F.col("doc_id").eqNullSafe(F.col(names[0])) & F.col("source").eqNullSafe(F.col(names[1])) & (common.word_count(F.col("text")) == F.col(names[2]))
+    rows = docs.join(taken, same, "left").withColumn(names[3], F.coalesce(names[3], F.lit(1)))
+    rows = rows.where(F.col(names[3]) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(names[3]))).alias(names[4]))
+    return rows.select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
