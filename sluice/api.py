@@ -194,11 +194,20 @@ def function(name: str, returns: str = "dynamic"):
     return user_function(name, returns)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only on one machine, if there is none, a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="sluice-"))
+    return context.getCheckpointDir()
+
+
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder; on one machine, if there is none, to a temporary one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None and context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
+    """Written to the checkpoint folder, which no lost executor takes with it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -260,7 +260,7 @@ def set_difference(context, first: Val, *rest: Val) -> Val:
 
 
 def _element(node: ElementTree.Element):
-    """Attributes as @name, children by name (a list if a name repeats), text beside them as #text; a leaf is its text."""
+    """Attributes as @name, children by name (a list if a name repeats), text beside them as #text; a leaf is its text, or null if empty."""
     out: dict = {f"@{k}": v for k, v in node.attrib.items()}
     for child in node:
         value = _element(child)
@@ -270,7 +270,7 @@ def _element(node: ElementTree.Element):
             out[child.tag] = value
     content = (node.text or "").strip()
     if not out:
-        return content
+        return content or None
     return out | {"#text": content} if content else out
 
 

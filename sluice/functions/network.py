@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from urllib.parse import parse_qs, unquote_plus, urlsplit
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,9 +49,8 @@ def url_encode_component(context, v: Val) -> Val:
 
 @register("url_decode")
 def url_decode(context, v: Val) -> Val:
-    """Natively where the text is well formed, else by Python, which keeps what it can't decode."""
-    whole = text(v)
-    return string(F.coalesce(F.try_url_decode(whole), batched(lambda x: unquote_plus(x or ""), "string")(whole)))
+    """A percent sign that no two hexadecimal digits follow stays as it is."""
+    return string(F.try_url_decode(F.regexp_replace(text(v), "%(?![0-9A-Fa-f]{2})", "%25")))
 
 
 def _first_values(query: str) -> dict[str, str]:
@@ -71,7 +70,8 @@ def parse_url(context, v: Val) -> Val:
 
 @register("parse_urlquery")
 def parse_urlquery(context, v: Val) -> Val:
-    return json_of(batched(lambda s: json.dumps({"Query Parameters": _first_values((s or "").removeprefix("?"))}), "string")(to_text(v)))
+    """Of what follows the first question mark, or of a text without one."""
+    return json_of(batched(lambda s: json.dumps({"Query Parameters": _first_values((s or "").split("?", 1)[-1])}), "string")(to_text(v)))
 
 
 def _packed(s: Column) -> Column:
@@ -141,22 +141,19 @@ def ipv4_compare(context, a: Val, b: Val, prefix: Val | None = None) -> Val:
     return Val(F.when(p < q, -1).when(p > q, 1).when(p == q, 0).cast("long"), "long")
 
 
-#: The header fields of a CEF event, in order.
+#: The header fields of a CEF event, in order, and the form of a pair of its extension.
 CEF = ("Version", "DeviceVendor", "DeviceProduct", "DeviceVersion", "SignatureId", "Name", "Severity")
+PAIR = re.compile(r"(\w+)=((?:[^=]|=(?!\w+=))*?)(?=\s+\w+=|$)")
 
 
-def _cef(s: str | None) -> str | None:
-    if s is None:
-        return None
-    out: dict = {}
-    rest = s
-    if s.startswith("CEF:"):
-        fields = re.split(r"(?<!\\)\|", s[4:], maxsplit=len(CEF))
-        out = {name: field.replace("\\|", "|") for name, field in zip(CEF, fields, strict=False)}
-        rest = fields[len(CEF)] if len(fields) > len(CEF) else ""
-    marks = list(re.finditer(r"(?:^|\s)([A-Za-z0-9_.\[\]]+)=", rest))
-    ends = [m.start() for m in marks[1:]] + [len(rest)]
-    return json.dumps(out | {"Extension": {m[1]: rest[m.end() : end].strip() for m, end in zip(marks, ends, strict=True)}})
+def _cef(s: str | None) -> str:
+    """A header that is cut short gives empty fields; without one the whole text is the extension."""
+    rest, out = s or "", {}
+    if rest.startswith("CEF:"):
+        fields = [*rest[4:].split("|"), *[""] * len(CEF)]
+        out = dict(zip(CEF, fields, strict=False))
+        rest = fields[len(CEF)]
+    return json.dumps({**out, "Extension": {k: v.strip() for k, v in PAIR.findall(rest)}})
 
 
 @register("parse_cef_dictionary")

@@ -86,6 +86,8 @@ def apply(low, frame: Frame, op: t.Apply) -> Frame:
         size = F.size(arrays[0][1]) if len(arrays) == 1 else F.greatest(*[F.size(a) for _, a, _, _ in arrays])
         out = replace(frame, fields=base).with_values({"Count": Val(size.cast("long"), "long")})
         return _rest(low, out, base, steps[1:])
+    if len(arrays) == 1 and (made := topped(low, frame, base, arrays[0], steps)) is not None:
+        return made
     row = fresh("row")
     frame = frame.with_columns({row: F.monotonically_increasing_id()})
     outer = frame
@@ -115,31 +117,83 @@ def _rest(low, frame: Frame, base: dict[str, Field], steps: list[t.Op]) -> Frame
     return replace(done, fields={**kept, **done.fields}, scope=done.scope[:-1], carry=tuple(where[c] for c in frame.carry), order=(*((where[c], d) for c, d in frame.order), *done.order))
 
 
-def folded(low, frame: Frame, array: tuple[str, Column, T.DataType, bool], op: t.Summarize) -> tuple[Column, dict[str, Val]] | None:
-    """(size, values) of aggregates over the elements of an array, without making rows of them; None if one can't be had so."""
+def topped(low, frame: Frame, base: dict[str, Field], array: tuple[str, Column, T.DataType, bool], steps: list[t.Op]) -> Frame | None:
+    """`extend … | top n by …` of a row's elements, as a sort of the array before it is expanded; None where the steps aren't of that form.
+
+    The rows keep their places, so nothing is shuffled. Keys that fall must be whole numbers; other keys rise."""
+    name, items, kind, span = array
+    n = next((i for i, op in enumerate(steps) if not isinstance(op, t.Extend)), len(steps))
+    if span or n == len(steps) or not isinstance(steps[n], t.Sort) or steps[n].n is None or any(not isinstance(op, (t.Extend, t.Where, t.Project, t.Arrange, t.Rename)) for op in steps[n + 1 :]):
+        return None
+    fits = True
+
+    def keys(x: Column, i: Column) -> Column:
+        nonlocal fits
+        seen, out = {name: V.of_column(x, kind)}, []
+        for op in steps[:n]:
+            for new, e in op.items:
+                seen = {**seen, new: low.value(e, None, seen)}
+        for e, down in steps[n].keys:
+            v = low.value(e, None, seen)
+            fits = fits and (not down or v.kind == "long")
+            out += [v.col.isNull(), F.bitwise_not(v.col)] if down and v.kind == "long" else V.sort_columns(v)
+        return F.struct(*[c.alias(f"k{j}") for j, c in enumerate(out)], i.alias("i"))
+
+    held = fresh("list")
+    frame = frame.with_columns({held: items})
+    sorted_ = F.array_sort(F.transform(F.col(held), keys))
+    if not fits:
+        return None
+    best = F.transform(F.slice(sorted_, 1, steps[n].n), lambda s: F.get(F.col(held), s["i"]))
+    inner, fields, place = exploded(replace(frame, order=()), [(name, best, kind, span)], None)
+    done = low.inner().steps(replace(inner, fields=fields), (*steps[:n], *steps[n + 1 :]))
+    return replace(done, fields={**base, **done.fields}, order=(*frame.order, (place, False)))
+
+
+def expand_summarized(low, frame: Frame, op: t.Expand, after: t.Summarize) -> Frame | None:
+    """`mv-expand x | summarize … by …` where each row is a row-set of its own and the keys are other columns: a fold of the array. None where it isn't one."""
+    if len(op.columns) != 1 or op.index is not None:
+        return None
+    ((name, items, kind, span),) = _arrays(low, frame, op.columns)
+    if any(not isinstance(e, t.Col) or e.name == name or e.name not in frame.fields for _, e in after.keys):
+        return None
+    held = fresh("list")
+    wide = frame.with_columns({held: items if op.limit is None else F.slice(items, 1, op.limit)})
+    made = folded(low, wide, (name, F.col(held), kind, span), after, frame.columns())
+    if made is None:
+        return None
+    size, values = made
+    return replace(wide, fields={new: frame.fields[e.name] for new, e in after.keys}).with_values(values).where(size > 0)
+
+
+def folded(low, frame: Frame, array: tuple[str, Column, T.DataType, bool], op: t.Summarize, known: dict[str, Val] | None = None) -> tuple[Column, dict[str, Val]] | None:
+    """(size, values) of aggregates over the elements of an array, without making rows of them; None if one can't be had so. known: other columns."""
     name, items, kind, span = array
     if span:
         return None
     values = {}
     for out, call in op.aggs:
-        v = _fold(low, name, items, kind, call)
+        v = _fold(low, name, items, kind, call, known or {})
         if v is None:
             return None
         values[out] = v
     return F.size(items), values
 
 
-def _fold(low, name: str, items: Column, kind: T.DataType, call: t.Expr) -> Val | None:
-    if not isinstance(call, t.Call) or call.name not in ("count", "countif", "sum", "avg", "min", "max", "make_list", "any", "take_any"):
+def _fold(low, name: str, items: Column, kind: T.DataType, call: t.Expr, known: dict[str, Val]) -> Val | None:
+    if not isinstance(call, t.Call) or call.name not in ("count", "countif", "sum", "avg", "min", "max", "dcount", "make_list", "any", "take_any"):
         return None
     if call.name == "count":
         return Val(F.size(items).cast("long"), "long")
     if len(call.args) != 1:
         return None
-    each = lambda x: low.value(call.args[0], None, {name: V.of_column(x, kind)})
+    each = lambda x: low.value(call.args[0], None, {**known, name: V.of_column(x, kind)})
     sort = each(F.lit(None).cast(kind))
     if call.name == "countif":
         return Val(F.size(F.filter(items, lambda x: V.truth(each(x)))).cast("long"), "long")
+    if call.name == "dcount":
+        distinct = F.array_distinct(F.transform(items, lambda x: V.canonical(each(x))))
+        return Val(F.size(F.filter(distinct, lambda x: x.isNotNull())).cast("long"), "long")
     if sort.kind not in ("long", "real", "string", "datetime", "bool") or sort.kind == "bool" and call.name not in ("make_list", "any", "take_any"):
         return None
     some = F.filter(F.transform(items, lambda x: each(x).col), lambda x: x.isNotNull())

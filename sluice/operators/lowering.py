@@ -23,6 +23,8 @@ OPERATORS = {
 }
 #: Operators that keep no more than a row at a time and so run on a stream as they are.
 ROW_OPERATORS = (t.Where, t.Extend, t.Project, t.Arrange, t.Rename, t.Parse, t.ParseKv, t.BagUnpack, t.Expand, t.Lookup)
+#: Of these, those that make no row of nothing and not more than one of one.
+SINGLE = tuple(x for x in ROW_OPERATORS if x is not t.Expand)
 
 
 class Lowering:
@@ -45,7 +47,12 @@ class Lowering:
         return Lowering(self.context, self.origin, self.tables, self.bag_keys, self.dry)
 
     def steps(self, frame: Frame, ops: tuple[t.Op, ...]) -> Frame:
-        for op in ops:
+        single = frame is self.origin and bool(frame.scope)  # whether each row is a row-set of its own
+        for i, op in enumerate(ops):
+            after = ops[i + 1] if i + 1 < len(ops) else None
+            if single and isinstance(op, t.Expand) and isinstance(after, t.Summarize) and (made := expansion.expand_summarized(self, frame, op, after)) is not None:
+                return self.steps(made, ops[i + 2 :])
+            single = single and isinstance(op, SINGLE)
             frame = OPERATORS[type(op)](self, frame, op)
         return frame
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import TYPE_CHECKING, Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -204,4 +207,24 @@ def _matches(context: Context, left: Val, right: Val) -> Val:
     if right.constant:
         pattern = V.java_regex(context.spark, constant_text(right))
         return null("bool") if pattern is None else Val(text(left).rlike(pattern), "bool")
-    return Val(F.rlike(text(left), text(right)), "bool")
+    return Val(_found()(text(left), text(right)), "bool")
+
+
+@lru_cache(maxsize=1)
+def _found():
+    """Whether a pattern of its row is in a text, null for an invalid one: patterns of a column are only known row by row, so Python says."""
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array, patterns: pa.Array) -> pa.Array:
+        known: dict[str, re.Pattern | None] = {}
+        out = []
+        for whole, pattern in zip(texts.to_pylist(), patterns.to_pylist(), strict=True):
+            if pattern not in known:
+                try:
+                    known[pattern] = re.compile(pattern)
+                except re.error:
+                    known[pattern] = None
+            out.append(None if known[pattern] is None else known[pattern].search(whole) is not None)
+        return pa.array(out, pa.bool_())
+
+    return run

@@ -39,7 +39,7 @@ EXPECTED = {
     f"format_datetime({D}, 'dd/MM/yyyy HH-mm-ss x')": "10/02/2021 13-14-15 x", "make_datetime(2021, 2, 30)": None, "make_datetime(2021, 3, 5, 9, 30, 1.9)": datetime(2021, 3, 5, 9, 30, 1, tzinfo=timezone.utc), "make_timespan(1, 30)": timedelta(minutes=90), "make_timespan(0, 0, 1.5)": timedelta(seconds=1.5),
     "unixtime_seconds_todatetime(86400)": datetime(1970, 1, 2, tzinfo=timezone.utc), "unixtime_milliseconds_todatetime(1500)": datetime(1970, 1, 1, 0, 0, 1, 500000, tzinfo=timezone.utc), "unixtime_microseconds_todatetime(1)": datetime(1970, 1, 1, 0, 0, 0, 1, tzinfo=timezone.utc), "now()": NOW, "ago(2h)": NOW - timedelta(hours=2), "ago(5)": None,
     # collections
-    "parse_xml('<r><i>h</i><i>g</i><k a=\"1\">t<u/></k></r>').r": {"i": ["h", "g"], "k": {"@a": "1", "u": "", "#text": "t"}}, "parse_xml('<bad')": None, "pack('a', 1, 'b', 'x', 'a', 2)": {"a": 2, "b": "x"}, "pack_array(1, 'x', n)": [1, "x", None], "pack_array(1, 2)": [1, 2], "array_length(a)": 3, "array_length(s)": 11, "array_length(x)": None, "array_concat(a, 9, n, w)": [3, 1, 2, 9, "b", None, "a", 2],
+    "parse_xml('<r><i>h</i><i>g</i><k a=\"1\">t<u/></k></r>').r": {"i": ["h", "g"], "k": {"@a": "1", "u": None, "#text": "t"}}, "parse_xml('<bad')": None, "pack('a', 1, 'b', 'x', 'a', 2)": {"a": 2, "b": "x"}, "pack_array(1, 'x', n)": [1, "x", None], "pack_array(1, 2)": [1, 2], "array_length(a)": 3, "array_length(s)": 11, "array_length(x)": None, "array_concat(a, 9, n, w)": [3, 1, 2, 9, "b", None, "a", 2],
     "array_index_of(a, 1)": 1, "array_index_of(w, 'a')": 2, "array_index_of(a, 7)": -1, "array_index_of(x, 7)": None, "array_slice(a, 1, 2)": [1, 2], "array_slice(a, 0, -1)": [], "array_slice(a, -2, 9)": [1, 2], "array_split(a, 1)": [[3], [1, 2]], "array_split(a, pack_array(1, 2))": [[3], [1], [2]], "array_sort_asc(a)": [1, 2, 3], "array_sort_asc(w)": [2, "a", "b", None], "array_sort_desc(w)": [None, "b", "a", 2],
     "array_sort_asc(x)": None, "array_reverse(a)": [2, 1, 3], "array_reverse(s)": None, "array_sum(a)": 6, "array_sum(w)": 2, "array_sum(pack_array(1, 2.5))": 3.5, "array_rotate_left(a, 1)": [1, 2, 3], "array_rotate_right(a, 1)": [2, 3, 1], "array_rotate_left(a, -4)": [2, 3, 1], "bag_keys(o)": ["k", "m"], "bag_keys(x)": None, "bag_merge(o, p)": {"k": 1, "m": "v", "z": [1]}, "bag_remove_keys(o, pack_array('k'))": {"m": "v"}, "bag_remove_keys(x, a)": 5,
     "set_union(a, pack_array(2, 9))": [3, 1, 2, 9], "set_intersect(a, pack_array(1, 3))": [3, 1], "set_intersect(a, s)": [3, 1, 2], "set_difference(a, pack_array(1))": [3, 2], "set_union(w, w)": ["b", None, "a", 2],
@@ -54,6 +54,9 @@ EXPECTED = {
     "parse_url('https://u:p@Host.com:8080/a/b?x=1&y=2#frag')": {"Scheme": "https", "Host": "host.com", "Port": "8080", "Path": "/a/b", "Username": "u", "Password": "p", "Query Parameters": {"x": "1", "y": "2"}, "Fragment": "frag"}, "parse_urlquery('a=1&a=2&b=')": {"Query Parameters": {"a": "1"}},
     "parse_ipv4('1.2.3.4')": 16909060, "parse_ipv4('1.2.3.4/24')": 16909060, "parse_ipv4('1.2.3')": None, "parse_ipv4('256.1.1.1')": None, "format_ipv4('1.2.3.4', 24)": "1.2.3.0", "format_ipv4(16909060)": "1.2.3.4", "ipv4_is_private('10.0.0.1')": True, "ipv4_is_private('8.8.8.8')": False, "ipv4_is_private('x')": None, "ipv4_netmask_suffix('1.2.3.4/24')": 24, "ipv4_netmask_suffix('1.2.3.4')": 32, "ipv4_is_in_range('10.0.0.5', '10.0.0.0/24')": True, "ipv4_is_in_range('10.0.1.5', '10.0.0.0/24')": False, "ipv4_compare('1.2.3.4', '1.2.3.5')": -1, "ipv4_compare('1.2.3.4/24', '1.2.3.5/24')": 0, "ipv4_compare('1.2.3.4', '1.2.3.5', 24)": 0,
     "parse_cef_dictionary('CEF:0|V|P|1.0|100|Some Event|5|src=1.2.3.4 msg=a b')": {"Version": "0", "DeviceVendor": "V", "DeviceProduct": "P", "DeviceVersion": "1.0", "SignatureId": "100", "Name": "Some Event", "Severity": "5", "Extension": {"src": "1.2.3.4", "msg": "a b"}}, "parse_cef_dictionary('a=1 b=2')": {"Extension": {"a": "1", "b": "2"}},
+    "parse_urlquery('https://x/y?a=1&b=2')": {"Query Parameters": {"a": "1", "b": "2"}}, "parse_cef_dictionary('CEF:0|a|b|1|2|n|5|')": {"Version": "0", "DeviceVendor": "a", "DeviceProduct": "b", "DeviceVersion": "1", "SignatureId": "2", "Name": "n", "Severity": "5", "Extension": {}},
+    "parse_cef_dictionary('CEF:0|a')": {"Version": "0", "DeviceVendor": "a", "DeviceProduct": "", "DeviceVersion": "", "SignatureId": "", "Name": "", "Severity": "", "Extension": {}}, "parse_cef_dictionary('a=b c d=e=f')": {"Extension": {"a": "b c", "d": "e=f"}}, "parse_cef_dictionary(n)": {"Extension": {}},
+    "parse_xml('<a/>')": {"a": None}, "url_decode('100%+%zz%41%')": "100% %zzA%", "s matches regex strcat('W', 'o')": True, "s matches regex strcat(e, '(')": None,
     "columnifexists('x', 0)": 5, "columnifexists('no', 'd')": "d", "STRLEN(s)": 11, "strlen()": None,
 }
 CHUNK = 24
