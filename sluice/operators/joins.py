@@ -61,12 +61,14 @@ def _condition(pairs: list[tuple[str, str]], left: Frame, right: Frame) -> Colum
 
 
 def over_scopes(left: Frame, right: Frame, single: bool = False) -> Frame:
-    """A constant table once for each row-set of `left`; the table is small, the row-sets may be many. single: each has one row."""
+    """A table once for each row-set of `left`, which is what an outer join or a union with it makes in record scope. single: each has one row.
+
+    Only a constant table is broadcast by hint."""
     names = [*left.scope, *left.carry]
     renamed = {c: fresh("s") for c in names}
     live = left.df.groupBy(*left.scope).agg(*[F.first(c).alias(c) for c in left.carry]) if left.carry else left.df.select(*left.scope) if single else left.df.select(*left.scope).distinct()
     live = live.select(*[F.col(c).alias(renamed[c]) for c in names])
-    df = live.crossJoin(F.broadcast(right.kept()))
+    df = live.crossJoin(F.broadcast(right.kept()) if right.small else right.kept())
     return replace(right, df=df, scope=tuple(renamed[c] for c in left.scope), carry=tuple(renamed[c] for c in left.carry))
 
 
@@ -87,6 +89,17 @@ def live(left: Frame, other: Frame) -> Frame:
     return replace(other, df=other.df.join(sets, test, "left_semi"))
 
 
+def _matched(left: Frame, right: Frame, keys: tuple[tuple[str, str], ...]) -> Frame:
+    """The rows of a table that match a row of a row-set, for each row-set: a join of the table with the row-sets' different keys."""
+    left, right, pairs = _keyed(left, right, keys)
+    names = {c: fresh("s") for c in (*left.scope, *left.carry)}
+    by = [*left.scope, *(a for a, _ in pairs)]
+    sets = left.df.groupBy(*by).agg(*[F.first(c).alias(c) for c in left.carry]) if left.carry else left.df.select(*by).distinct()
+    sets = sets.select(*[F.col(c).alias(n) for c, n in names.items()], *(a for a, _ in pairs))
+    df = (F.broadcast(right.df) if right.small else right.df).join(sets, _condition(pairs, replace(left, scope=()), replace(right, scope=())))
+    return replace(right, df=df, scope=tuple(names[c] for c in left.scope), carry=tuple(names[c] for c in left.carry), small=False)
+
+
 def _first_of_keys(frame: Frame, names: list[str]) -> Frame:
     """The first row of each key of a row-set."""
     if not frame.order:
@@ -143,7 +156,9 @@ def join(low, frame: Frame, op: t.Join) -> Frame:
     if right is None:
         raise KqlCompileError(f"unknown table {op.right!r}", *op.at)
     right = right.renamed()
-    if frame.scope and not right.scope and kind in ("rightouter", "fullouter", "rightsemi", "rightanti"):
+    if frame.scope and not right.scope and kind == "rightsemi":
+        return _matched(frame, right, op.keys)
+    if frame.scope and not right.scope and kind in ("rightouter", "fullouter", "rightanti"):
         right = over_scopes(frame, right)
     elif frame.scope and right.scope and kind in ("rightouter", "fullouter", "rightanti"):
         right = live(frame, right)

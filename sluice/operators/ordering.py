@@ -47,7 +47,7 @@ def sample(low, frame: Frame, op: t.Sample) -> Frame:
     seed = low.context.options.random_seed
     if not frame.scope:
         chance = fresh("chance")
-        shown = [f.name for f in frame.fields.values()]
+        shown = [F.col(f.name).alias(f"c{i}") for i, f in enumerate(frame.fields.values())]  # names of our own differ from one compilation to the next
         draw = F.rand() if seed is None else F.xxhash64(F.lit(seed), *[F.to_json(F.struct(*shown)) if shown else F.lit(0)])
         drawn = frame.with_columns({chance: draw})
         return replace(drawn, df=drawn.df.orderBy(chance).limit(op.n))

@@ -8,11 +8,14 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import KqlEvalError
 from ..plans import tree as t
 from ..plans import values as V
 from ..plans.frame import Frame, field_of
 from ..plans.values import Val
 
+#: Keys that are looked up in bags at most: each becomes a column.
+KEYS = 10_000
 
 def where(low, frame: Frame, op: t.Where) -> Frame:
     return frame.where(V.truth(low.value(op.test, frame)))
@@ -148,5 +151,7 @@ def bag_unpack(low, frame: Frame, op: t.BagUnpack) -> Frame:
     elif low.dry or frame.df.isStreaming:
         keys = ()
     else:
-        keys = sorted(r[0] for r in frame.df.select(F.explode(F.map_keys(found)).alias("k")).distinct().collect())
+        keys = sorted(r[0] for r in frame.df.select(F.explode(F.map_keys(found)).alias("k")).distinct().limit(KEYS + 1).collect())
+        if len(keys) > KEYS:
+            raise KqlEvalError(f"the bags of {op.name!r} have over {KEYS} keys; name those that are wanted by bag_keys")
     return rest.with_values({op.prefix + k: V.member(v, V.literal(k, "string")) for k in keys})

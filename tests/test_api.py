@@ -66,6 +66,52 @@ def test_plans(spark):
     assert "BroadcastHashJoin" in plan(sluice.compile("let T = datatable(event_type:string, n:long)['purchase', 1]; source | lookup T on event_type").apply(events, "table"))
 
 
+def test_expansions_that_are_folds(spark):
+    """Aggregates and the top of a row's own elements are had without a shuffle, and equal those of the general way."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    frame = spark.createDataFrame([(1, "b a b cc", 5), (2, "", 6), (3, None, 7), (4, "x yyy zz yyy", 8), (5, "é éé 😀", None)], "id long, text string, n long")
+    for query, general in (
+        ("source | where n != 7 | mv-expand w = split(text, ' ') | summarize c = count(), d = dcount(w), l = max(strlen(w)), s = sum(n), o = countif(strlen(w) > n - 4) by id, n", "source | where n != 7 | mv-expand w = split(text, ' ') | extend z = 1 | summarize c = count(), d = dcount(w), l = max(strlen(w)), s = sum(n), o = countif(strlen(w) > n - 4) by id, n"),
+        ("source | project id, ws = split(text, ' ') | mv-apply w = ws on (extend l = strlen(w), k = toupper(w) | top 2 by l, k asc | project w, l)", "source | project id, ws = split(text, ' ') | mv-apply w = ws on (extend l = strlen(w), k = toupper(w) | where true | top 2 by l, k asc | project w, l)"),
+        ("source | project id, ws = split(text, ' ') | mv-apply w = ws on (top 3 by w asc)", "source | project id, ws = split(text, ' ') | mv-apply w = ws on (where true | top 3 by w asc)"),
+    ):
+        fast, slow = (sluice.compile(q).apply(frame, record_key="id") for q in (query, general))
+        assert "Exchange" not in plan(fast) and "Exchange" in plan(slow) and fast.columns == slow.columns
+        assert sorted(map(str, fast.collect())) == sorted(map(str, slow.collect()))
+    rows = sluice.compile("source | mv-apply w = split(text, ' ') on (extend l = strlen(w) | top 2 by l, w asc | project w)").transform({"text": "a ccc b ddd"})
+    assert [r["w"] for r in rows] == ["ccc", "ddd"]
+
+
+def test_record_scope_joins_of_tables_broadcast_nothing(spark):
+    """Matching rows of a table in record scope are found by a join of keys; no table is broadcast by hint but a constant one."""
+    read = lambda n: spark.read.parquet(f"{DATA}/{n}.parquet")
+    plan = lambda df: df._jdf.queryExecution().toString()
+    joined = lambda kind: sluice.compile(f"source | join kind={kind} lineitem on o_orderkey == l_orderkey", tables={"lineitem": read("lineitem")}).apply(read("orders"), record_key="o_orderkey")
+    semi = joined("rightsemi")
+    assert "Cross" not in plan(semi) and "strategy=broadcast" not in plan(semi)
+    assert semi.count() == read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").count()
+    assert "strategy=broadcast" not in plan(joined("rightouter"))
+
+
+def test_bags_of_many_keys(spark, monkeypatch):
+    from sluice.operators import rows as operators
+
+    monkeypatch.setattr(operators, "KEYS", 3)
+    frame = spark.range(5).select(F.concat(F.lit('{"k'), F.col("id").cast("string"), F.lit('": 1}')).alias("b"))
+    with pytest.raises(sluice.KqlEvalError):
+        sluice.compile("source | extend p = parse_json(b) | evaluate bag_unpack(p)").apply(frame, "table")
+
+
+def test_samples(spark):
+    """Of the right size, rows of the input, different ones, the same for a seed, not the same for another."""
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("event_id")
+    drawn = lambda seed: [r.event_id for r in sluice.compile("source | sample 40", options=sluice.Options(random_seed=seed)).apply(events, "table").collect()]
+    one, same, other, free = drawn(1), drawn(1), drawn(2), drawn(None)
+    ids = {r.event_id for r in events.collect()}
+    assert all(len(x) == len(set(x)) == 40 and set(x) <= ids for x in (one, other, free)) and sorted(one) == sorted(same) and set(one) != set(other)
+    assert abs(sum(one) / 40 - sum(ids) / len(ids)) < 0.3 * max(ids)
+
+
 def test_input_read_twice_without_a_key(spark):
     query = sluice.compile("source | where value > 90 | as A | union A | summarize n = count() by event_id")
     got = query.apply(spark.read.parquet(f"{DATA}/events.parquet").repartition(3))
