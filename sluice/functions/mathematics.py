@@ -120,9 +120,10 @@ def atan2(context, y: Val, x: Val) -> Val:
 
 
 def _gcd(a: Column, b: Column) -> Column:
-    """Euclid's steps; 92 are enough for 64 bits."""
+    """Euclid's steps: no more than the logarithm of the smaller number to the golden ratio, and a few."""
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] != 0, s["b"])).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(F.abs(a).alias("a"), F.abs(b).alias("b")), step, lambda s: s["a"])
+    enough = (F.log(F.least(F.abs(a), F.abs(b)).cast("double") + 1) * 2.0781 + 4).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), enough), F.struct(F.abs(a).alias("a"), F.abs(b).alias("b")), step, lambda s: s["a"])
 
 
 @register("gcd")

@@ -78,6 +78,17 @@ def test_every_function_has_a_case():
     assert len(FUNCTIONS) >= 149
 
 
+def test_greatest_common_divisors(spark):
+    """Of neighbours in Fibonacci's series, which need the most steps, and of large and negative numbers and zeros."""
+    pairs, a, b = [(0, 0), (0, 7), (7, 0), (-12, 18), (2**62, 2**61), (2**63 - 1, 3), (6, 4)], 1, 1
+    while b < 2**62:
+        pairs += [(a, b), (b, a), (2 * a, 2 * b)]
+        a, b = b, a + b
+    frame = spark.createDataFrame([(x, y) for x, y in pairs], "x long, y long")
+    got = sluice.compile("source | project x, y, g = gcd(x, y)").apply(frame, "table").collect()
+    assert [r.g for r in got] == [math.gcd(r.x, r.y) for r in got]
+
+
 def test_user_functions(spark):
     @sluice.function("Twice")
     def twice(x):
