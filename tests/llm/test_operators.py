@@ -449,6 +449,33 @@ def test_word_probabilities_add_up_to_one(spark, docs):
     assert known == last.known and np.allclose(total, 1, atol=1e-5)
 
 
+def test_scores_equal_those_of_single_tokens(spark, docs):
+    """A text's score is the sum over its tokens, one by one, of what the model says after the token before; unknown words share one class."""
+    import pyarrow as pa
+
+    held = lambda i: binascii.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    words = lm.count_words(docs.where(~lm.held_out(F.col("doc_id"))).select("text"))
+    rounds = lm.sample_seating(words)
+    last, known = rounds[-1], {bytes(r.word): r for r in lm.word_scores(words, rounds).collect()}
+    rest = last.rest()
+    unknown = np.array([last.share(np.zeros(1), np.zeros(1), s)[0] for s in range(lm.SAMPLES)])
+
+    def logp(word: bytes, before: bytes) -> float:
+        context = int(lm.contexts_of(pa.array([before], pa.binary()))[0])
+        r = known.get(word)
+        if r is not None and context in r.contexts:
+            return r.logs[list(r.contexts).index(context)]
+        return float(np.log10(rest[context] @ (unknown if r is None else np.array(r.parent)) / lm.SAMPLES))
+
+    wanted = []
+    for i, text, *_ in rows():
+        cut = [*(x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text or ""))), b""]
+        wanted.append((str(i), len(cut), sum(logp(w, b) for w, b in zip(cut, [b"", *cut], strict=False))))
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.score(docs).collect())
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 * max(1, -b[2]) for a, b in zip(got, sorted(wanted), strict=True))
+    assert any(held(r[0]) for r in rows())
+
+
 def test_blocks_seat_like_single_customers():
     """The mean number of tables of large counts is within one per cent of that of seating one at a time."""
     for count, share in ((3000, 0.02), (20_000, 0.001), (20_000, 0.3)):
@@ -666,3 +693,46 @@ def test_more_labels_than_languages(spark, monkeypatch):
     monkeypatch.setattr(language, "LANGUAGES", 2)
     own = [("abc abd", "x")] * 3 + [("xyz xyy", "y")] * 2 + [("klm kll", "b"), ("opq oqq", "z"), ("opq oqq", "z")]
     assert language.fit(spark.createDataFrame(own, "text string, lang string")).languages == ["x", "y"]
+
+
+def test_languages_equal_brute_force(spark):
+    """Prototypes and cosines from trigram vectors that are multiplied, turned and added one by one."""
+    rng = random.Random(3)
+    made = {"xx": "aeiou", "yy": "bcdfgaeo", "zz": "äöüßst"}
+    own = [(i, " ".join("".join(rng.choices(made[x], k=rng.randint(1, 7))) for _ in range(rng.randint(1, 12))), x) for i in range(60) for x in [rng.choice(sorted(made))]]
+    own += [(60, "Aé, b'c! 漢字 12 x", "xx"), (61, "ß", None), (62, "- 7", "yy")]
+
+    def vector(text: str) -> np.ndarray:
+        total, n = np.zeros(language.DIMS), 0
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            codes = [0, *map(ord, word), 0]
+            for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+                total += np.roll(language.letter(a), 2).astype(float) * np.roll(language.letter(b), 1) * language.letter(c)
+                n += 1
+        return total / max(1, n)
+
+    unit = lambda x: x / max(1e-9, np.linalg.norm(x))
+    learnt = [(t, x) for i, t, x in own if x and binascii.crc32(str(i).encode()) % 4 != 2]
+    names = sorted({x for _, x in learnt})
+    sums = np.stack([unit(sum(vector(t) for t, x in learnt if x == name)) for name in names])
+    centre = sums.mean(axis=0)
+    got = {r.doc_id: r for r in language.languages(spark.createDataFrame([(i, t, x, "s", 0) for i, t, x in own], SCHEMA)).collect()}
+    for i, text, _ in own:
+        if not re.search(r"[^\W\d_]", text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        cosines = [unit(unit(vector(text)) - centre) @ unit(x - centre) for x in sums]
+        assert got[i].lang_pred == names[int(np.argmax(cosines))] and abs(got[i].score - (1 + max(cosines)) / 2) < 1e-3
+
+
+def test_slices_of_texts():
+    """Every text once, in order; long texts stand alone, and no list holds many bytes otherwise."""
+    import pyarrow as pa
+
+    from sluice.llm import common
+
+    own = ["a" * n for n in (1, 0, 5000, 10, 9000, 3, 4)] + [None, "é"] + ["xy"] * 40
+    found = list(common.slices(pa.array(own), 16, 4000))
+    assert [x for part in found for x in part] == [x or "" for x in own]
+    assert all(len(part) <= 16 and (len(part) == 1 or sum(map(len, part)) <= 4000) for part in found)
+    assert list(common.slices(pa.array([], pa.string()))) == []
