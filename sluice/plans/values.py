@@ -109,9 +109,14 @@ def text_of(v: Column) -> Column:
     return F.when(shape(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
+def once(column: Column, build) -> Column:
+    """What `build` makes of a column whose value is computed once, however often it is used: parsing a document is dear."""
+    return F.transform(F.array(column), build)[0]
+
+
 def plain(v: Column) -> Column:
     """A variant without JSON's null."""
-    return F.when(~F.is_variant_null(v), v)
+    return once(v, lambda x: F.when(~F.is_variant_null(x), x))
 
 
 def as_variant(v: Val) -> Column:
@@ -244,7 +249,7 @@ def to_real(v: Val) -> Column:
     if v.kind == "string":
         return _double_of_text(v.col)
     if v.variant:
-        return F.coalesce(number_of(v.col), _double_of_text(text_of(v.col)), F.when(shape(v.col) == "BOOLEAN", F.try_variant_get(v.col, "$", "boolean").cast("int").cast("double")))
+        return once(v.col, lambda x: F.coalesce(number_of(x), _double_of_text(text_of(x)), F.when(shape(x) == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("int").cast("double"))))
     return F.lit(None).cast("double")
 
 
@@ -255,10 +260,10 @@ def to_long(v: Val) -> Column:
         return v.col.cast("long")
     if v.kind == "null":
         return F.lit(None).cast("long")
-    whole = F.when(shape(v.col).rlike("INT$"), F.try_variant_get(v.col, "$", "long")) if v.variant else None
-    cut = to_real(v)
-    cut = F.when(~F.isnan(cut), cut.try_cast("long"))
-    return cut if whole is None else F.coalesce(whole, cut)
+    cut = lambda x: F.when(~F.isnan(x), x.try_cast("long"))
+    if not v.variant:
+        return cut(to_real(v))
+    return once(v.col, lambda x: F.coalesce(F.when(shape(x).rlike("INT$"), F.try_variant_get(x, "$", "long")), once(to_real(Val(x, "dynamic")), cut)))
 
 
 def to_bool(v: Val) -> Column:
