@@ -93,7 +93,7 @@ def near(text: str | None, items: list[tuple], width: int, slop: int) -> set:
     return found
 
 
-@pytest.mark.parametrize(("width", "slop"), [(3, 2), (5, 0), (10, 5)])
+@pytest.mark.parametrize(("width", "slop"), [(3, 0), (10, 5)])
 def test_proximity_equals_brute_force(spark, docs, width, slop):
     items = [(1, " ".join(texts(1)[0].split()[:14])), (2, " ".join(sorted(texts(3)[2].split()[:12]))), (10, WORDS[5]), (3, f"{WORDS[1]} {WORDS[2]} {WORDS[1]}"), (4, None), (None, texts(5)[4]), (7, f"{WORDS[9]} {WORDS[9]}")]
     items += [(20 + i, " ".join(random.Random(i).sample(x.split()[:9], k=4))) for i, x in enumerate(texts(40)) if len(x.split()) > 9]
