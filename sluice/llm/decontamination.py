@@ -1,9 +1,9 @@
 """Benchmark decontamination on a positional inverted index of the training tokens.
 
 The index holds a posting (term, row, position) for each token that a test window uses, sorted by term inside every file, and
-one marker for each row, whose position is the row's length. Its files are split in levels: the lists of the terms by
-which windows are looked up (the two rarest of any window) lie apart from those of all other terms, and lookups read
-the former only. A window is looked up from the list of its rarest term; the list of the next rarest is intersected with it, each
+one marker for each row, whose position is the row's length. The numbers of the terms by which windows are looked up (the two rarest of
+any window) come before those of all other terms, so their lists lie together, and lookups skip the row groups of
+the others. A window is looked up from the list of its rarest term; the list of the next rarest is intersected with it, each
 at its own offset (or, for proximity, within the span), and then all other lists at once. No text is read again and
 none is ever in an exchange.
 """
@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, ascii_lower, small, stored
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-LOOKED_UP, OTHER, MARKER = 0, 1, 2
+#: What stands between words: all else is a word.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The first numbers of terms by which windows aren't looked up, and of markers.
+OTHER, MARKER = 1 << 60, 1 << 61
 
 
 def tokens(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; none for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), BETWEEN, -1), ""), F.array().cast("array<string>"))
 
 
 def windows(items: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -49,19 +51,21 @@ def ranked(docs: DataFrame, found: DataFrame) -> DataFrame:
     return stored(by.select("window", "len", F.col("slots.term").alias("terms"), F.col("slots.word").alias("words"), place(rarest).alias("first"), place(other).alias("second")), "ranked")
 
 
-def index(docs: DataFrame, plans: DataFrame) -> DataFrame:
-    """Postings term, row, pos, level of the words of `plans`, and for each row of `docs` a marker with pos its length, doc_id and text_hash.
+def index(docs: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, plans): term, row, pos of the words of `plans`, and the plans with the terms' numbers in the index.
 
-    row names a row of `docs` in this table; it is written with its postings by one task, so it agrees whatever task is run again."""
-    lookups = plans.select(F.explode(F.array("first.term", "second.term")).alias("term")).where("term is not null").distinct().withColumn("level", F.lit(LOOKED_UP))
-    vocabulary = plans.select(F.explode(F.arrays_zip("words", "terms")).alias("s")).select(F.col("s.words").alias("word"), F.col("s.terms").alias("term")).distinct()
-    vocabulary = vocabulary.join(small(lookups), "term", "left").select("word", "term", F.coalesce("level", F.lit(OTHER)).alias("level"))
-    vocabulary = stored(vocabulary.unionByName(plans.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(-1).cast("long").alias("term"), F.lit(MARKER).alias("level"))), "vocabulary")
+    Each row of `docs` has a marker besides, with pos its length, doc_id and text_hash. row names a row of `docs` in this table; it is
+    written with its postings by one task, so it agrees whatever task is run again."""
+    lookups = plans.select(F.explode(F.array("first.term", "second.term")).alias("term")).where("term is not null").distinct().withColumn("own", F.lit(0).cast("long"))
+    words = plans.select(F.explode(F.arrays_zip("words", "terms")).alias("s")).select(F.col("s.words").alias("word"), F.col("s.terms").alias("term")).distinct()
+    words = words.join(small(lookups), "term", "left").select("word", (F.col("term") + F.coalesce("own", F.lit(OTHER))).alias("term"))
+    words = stored(words.unionByName(plans.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(MARKER).cast("long").alias("term"))), "vocabulary")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("words"))
     rows = rows.select("row", "doc_id", "text_hash", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "word"))
-    own = lambda c: F.when(F.col("level") == MARKER, F.col(c)).alias(c)
-    rows = rows.join(small(vocabulary), "word").select("term", "row", "pos", own("doc_id"), own("text_hash"), "level")
-    return stored(rows.sortWithinPartitions("level", "term", "row", "pos"), "postings", "level")
+    own = lambda c: F.when(F.col("term") >= MARKER, F.col(c)).alias(c)
+    rows = rows.join(small(words), "word").select("term", "row", "pos", own("doc_id"), own("text_hash"))
+    numbers = plans.select("window", F.posexplode("words").alias("i", "word")).join(small(words), "word").groupBy("window").agg(F.array_sort(F.collect_list(F.struct("i", "term")))["term"].alias("terms"))
+    return stored(rows.sortWithinPartitions("term"), "postings"), stored(plans.drop("terms", "words").join(small(numbers), "window"), "plans")
 
 
 def search(docs: DataFrame, items: DataFrame, width: int, slop: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -72,12 +76,12 @@ def search(docs: DataFrame, items: DataFrame, width: int, slop: int | None) -> t
     n_words of each row of `docs`. owners: window, item."""
     known, owners = windows(items, width)
     plans = ranked(docs, known)
-    postings = index(docs, plans)
+    postings, plans = index(docs, plans)
     span = F.col("len") + (slop or 0)
     grain = 2 * (width + (slop or 0))  # no span on both sides of a place touches more than two cells
     cell = F.floor(F.col("pos") / grain)
     cells = F.explode(F.array_distinct(F.array(F.floor((F.col("at") - span + 1) / grain), F.floor((F.col("at") + span - 1) / grain)))).alias("cell")
-    lists = postings.where(F.col("level") == LOOKED_UP).select("term", "row", "pos")
+    lists = postings.where(F.col("term") < OTHER).select("term", "row", "pos")
     at = lists.join(small(plans.select(F.col("first.term").alias("term"), "window")), "term").select("row", "window", F.col("pos").alias("at"))
     at = at.join(small(plans.select("window", "len", F.col("first.offset").alias("o1"), F.col("second.term").alias("t2"), (F.col("second.offset") - F.col("first.offset")).alias("gap"))), "window")
     alone = at.where("t2 is null").select("row", "window", "at")
@@ -88,7 +92,7 @@ def search(docs: DataFrame, items: DataFrame, width: int, slop: int | None) -> t
     # A place by which a window is looked up; it has at most one row for each position of the second list in its span.
     places = stored(pairs.select("row", "window", "at").distinct().unionByName(alone), "places")
     # All other lists at once: what stands around a place of the window's own terms, at most two spans of positions.
-    every = postings.where(F.col("level") < MARKER).select("row", "term", "pos")
+    every = postings.where(F.col("term") < MARKER).select("row", "term", "pos")
     touched = stored(places.select("row").distinct(), "touched-rows")
     if (n := touched.count()) <= BROADCAST_ROWS:
         every = every.join(small(touched, n), "row", "left_semi")
@@ -102,7 +106,7 @@ def search(docs: DataFrame, items: DataFrame, width: int, slop: int | None) -> t
     inside = lambda s: F.size(F.array_distinct(F.filter("seen", lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + span))["term"]))
     near = F.exists("seen", lambda s: inside(s) == F.size(F.array_distinct("terms"))) if slop is not None else F.lit(False)
     found = seen.select("row", "window", F.when(whole, start).alias("start"), "len", near.alias("near")).where("start is not null or near")
-    lengths = postings.where(F.col("level") == MARKER).select("row", "doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
+    lengths = postings.where(F.col("term") >= MARKER).select("row", "doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
     return stored(found, "found"), lengths, owners
 
 
