@@ -141,7 +141,7 @@ def topped(low, frame: Frame, base: dict[str, Field], array: tuple[str, Column,
 
     held = fresh("list")
     frame = frame.with_columns({held: items})
-    sorted_ = F.array_sort(F.transform(F.col(held), keys))
+    sorted_ = F.sort_array(F.transform(F.col(held), keys))  # by the structs' own order, which needs no comparing lambda
     if not fits:
         return None
     best = F.transform(F.slice(sorted_, 1, steps[n].n), lambda s: F.get(F.col(held), s["i"]))
