@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +12,6 @@ from .common import copies, stored
 
 BITS = 3
 DIMS = ("source", "lang", "doc_id", "size")
-#: Values of a column that its quantiles are taken from: those with the least hashes, so all where there are no more.
-QUANTILES_OF = 4096
 #: Runs of the curve's order that are ranked apart: about this many in all.
 RUNS = 16_384
 
@@ -57,20 +58,40 @@ def hilbert(axes: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(corners, F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("place")), step, lambda s: s["place"])
 
 
+def _quantiles(rows: DataFrame, column: str, width: int) -> list[str | None]:
+    """The least value of each cell but the lowest, None where it is null; none of cells without values.
+
+    All distinct values are dealt to ranges in their order and counted by range; then the ranges of the cuts, `width` - 1 at most, are numbered,
+    each in its own task. Where the ranges' bounds lie doesn't change the result."""
+    values = stored(rows.select(F.col(column).alias("value")).distinct().repartitionByRange("value").withColumn("part", F.spark_partition_id()), "values")
+    known = values.where("value is not null")
+    parts = known.groupBy("part").count().orderBy("part").collect()
+    n_known = sum(r["count"] for r in parts)
+    n = values.count()
+    cuts = [k for k in (-(-i * n // width) for i in range(1, width)) if k < n]  # the first place of each cell but the lowest
+    wanted, ahead = [], 0
+    for r in parts:
+        wanted += [(r["part"], k - ahead + 1, k) for k in sorted({*cuts}) if ahead <= k < ahead + r["count"]]
+        ahead += r["count"]
+    if not wanted:
+        return [None for _ in cuts]
+    numbered = known.where(F.col("part").isin([part for part, *_ in wanted])).withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("value")))
+    either = [(F.col("part") == part) & (F.col("at") == at) for part, at, _ in wanted]
+    found = {(r["part"], r["at"]): r["value"] for r in numbered.where(reduce(or_, either)).collect()}
+    least = {k: found[part, at] for part, at, k in wanted}
+    return [least[k] if k < n_known else None for k in cuts]
+
+
 def _cell(rows: DataFrame, column: str, width: int) -> Column:
-    """The value's place among the quantiles of the column's distinct values, null last: 0 .. width - 1."""
-    known = rows.select(column).distinct().orderBy(F.xxhash64(column), column).limit(QUANTILES_OF).collect()
-    values = sorted((r[0] for r in known if r[0] is not None), key=lambda x: x.encode())
-    n = len(known)
-    cuts = [-(-i * n // width) for i in range(1, width)]  # the first place of each cell but the lowest
-    above = lambda k: F.lit(False) if k >= n else F.col(column).isNull() if k >= len(values) else F.coalesce(F.col(column) >= F.lit(values[k]), F.lit(True))
-    return sum((above(k).cast("int") for k in cuts), F.lit(0))
+    """The value's place among the quantiles of all distinct values of the column, null last: 0 .. width - 1."""
+    above = lambda least: F.col(column).isNull() if least is None else F.coalesce(F.col(column) >= F.lit(least), F.lit(True))
+    return sum((above(least).cast("int") for least in _quantiles(rows, column, width)), F.lit(0))
 
 
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and hilbert of each row of `docs` (doc_id, text, lang, source).
 
-    Source and language (by quantiles of their distinct values, null last), doc_id (by its place
+    Source and language (by exact quantiles of all their distinct values, null last), doc_id (by its place
     between the least and the greatest) and size (by its power of two) are quantised to three bits each. Rows are ranked by
     the cell's place on the Hilbert curve, then by md5 of doc_id and checksum, doc_id, size and checksum, and the ranks are cut into
     `shards` runs by the law `rows`: counts at most one apart. size: UTF-8 bytes plus 16, 16 for null, whose checksum

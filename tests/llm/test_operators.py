@@ -221,6 +221,15 @@ def test_quantiles_of_columns(spark):
     assert [cells[x] for x in order] == [i * 5 // 10 for i in range(10)]
 
 
+def test_quantiles_of_more_values_than_a_sample(spark):
+    """Cuts are those of all 9 001 distinct values, most of them in few rows, the first and last cells as full as the others."""
+    names = [f"{i * 7919 % 9_000:05d}.example" for i in range(9_000)]
+    frame = spark.createDataFrame([(x,) for x in [*names, *names[:500], *[names[0]] * 700, None]], "x string").repartition(5)
+    order = [*sorted(names), None]
+    cells = {r.x: r.c for r in frame.select("x", sharding._cell(frame, "x", 8).alias("c")).distinct().collect()}
+    assert [cells[x] for x in order] == [i * 8 // 9_001 for i in range(9_001)]
+
+
 @pytest.mark.parametrize("dims", [2, 3, 4])
 def test_hilbert_neighbours_touch(dims):
     table, bits = sharding.transitions(dims), 3
