@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, licenses, lm, mixing, quality, sharding, simhash, tokens, toxicity
+from . import bigrams, decontamination, language, licenses, mixing, quality, sharding, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_table(spark, sf_dir, "documents"))
+    return bigrams.score(_table(spark, sf_dir, "documents"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

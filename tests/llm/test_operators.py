@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sluice.llm import decontamination, language, licenses, lm, mixing, quality, sharding, simhash, tokens, toxicity
+from sluice.llm import bigrams, decontamination, language, licenses, lm, mixing, quality, sharding, simhash, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["".join(random.Random(i).choices(string.ascii_lowercase, k=2 + i % 7)) for i in range(300)]
@@ -485,6 +485,81 @@ def test_scores_equal_those_of_single_tokens(spark, docs):
     assert any(held(r[0]) for r in rows())
 
 
+def test_every_word_before_has_its_own_restaurant(spark):
+    """Words that end alike, and so share one of the classes, are contexts apart; classes give what follows them one probability."""
+    texts = ["red bag " * 20, "wed sky " * 20] * 40
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, "red bag", "red sky", "wed sky", "wed bag"])], "doc_id long, text string")
+    got = {r.doc_id - 80: r.score for r in bigrams.score(frame).where("doc_id >= 80").collect()}
+    assert got[0] > got[1] + 0.5 and got[2] > got[3] + 0.5
+
+
+def brute(spark, docs):
+    """(training pairs, words, totals, log10 probability of a word after another) of the sampled seating, one by one."""
+    pairs, seed = bigrams.count_pairs(docs.select("text", lm.held_out(F.col("doc_id")).alias("held_out")))
+    seen, words, last = bigrams.sample_seating(pairs)
+    of = {(r.before, r.word): r for r in seen.collect()}
+    by = {r.key: r for r in words.collect()}
+
+    def p(word: bytes, before: bytes) -> float:
+        w, u = (xxhash.xxh64(x, seed).intdigest() for x in (word, before))
+        w, u = (x - (1 << 64) if x >> 63 else x for x in (w, u))
+        total = 0.0
+        for s in range(lm.SAMPLES):
+            share = last.share(np.array([by[w].m[s] if w in by else 0.0]), np.array([by[w].up[s] if w in by else 0.0]), s)[0]
+            own = max(of[u, w].c - last.discounts[0] * of[u, w].t[s], 0) if (u, w) in of else 0
+            customers, tables = (by[u].c, by[u].tables[s]) if u in by else (0, 0)
+            total += (own + (lm.STRENGTH + last.discounts[0] * tables) * share) / (lm.STRENGTH + customers) / lm.SAMPLES
+        return total
+
+    return of, by, last, p
+
+
+def test_pairs_of_words_against_brute_force(spark, docs, nothing):
+    """Counts, sums of tables, base columns, scores token by token, and probabilities that add up to one after any word."""
+    held = lambda i: binascii.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    cut = lambda x: [*(w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(x or ""))), b""]
+    of, by, last, p = brute(spark, docs)
+    counts: dict = {}
+    for r in rows():
+        if not held(r[0]):
+            for pair in zip([b"", *cut(r[1])], cut(r[1]), strict=False):
+                counts[pair] = counts.get(pair, 0) + 1
+    assert sorted(counts.values()) == sorted(r.c for r in of.values())
+    for s in range(lm.SAMPLES):
+        assert all(1 <= r.t[s] <= r.c for r in of.values()) and all(1 <= r.up[s] <= r.m[s] for r in by.values())
+        for side, name in ((0, "tables"), (1, "m")):
+            sums: dict = {}
+            for pair, r in of.items():
+                sums[pair[side]] = sums.get(pair[side], 0) + r.t[s]
+            assert sums == {k: r[name][s] for k, r in by.items()}
+    assert any(r.t[0] > 1 for r in of.values()) and any(r.up[0] > 1 for r in by.values())
+    known = {w for _, w in counts}
+    for before in [b"", b"never seen", WORDS[3].encode(), WORDS[7].encode()]:
+        assert abs(sum(p(w, before) for w in known) + p(b"never seen", before) - 1) < 1e-9
+    single: dict = {}
+    wanted = sorted((str(r[0]), len(cut(r[1])), sum(w in known for w in cut(r[1])), sum(np.log10(single.setdefault((u, w), p(w, u))) for u, w in zip([b"", *cut(r[1])], cut(r[1]), strict=False))) for r in rows())
+    got = bigrams.score(docs).collect()
+    assert all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6 * max(1, -b[3]) for a, b in zip(sorted((str(r.doc_id), r.n_tokens, r.n_known, r.score) for r in got), wanted, strict=True))
+    order = lambda found: sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found)
+    assert order(got) == order(lm.score(docs).collect())
+    assert bigrams.score(nothing).count() == 0 and bigrams.score(docs.where(lm.held_out(F.col("doc_id")))).agg(F.max(F.abs("score"))).first()[0] == 0
+
+
+def test_scores_of_pairs_are_the_same_in_any_layout(spark, docs, monkeypatch):
+    """With few broadcast words and pairs, small blocks and other partitions; and where two words share a key, by another seed."""
+    one = bigrams.score(docs).collect()
+    monkeypatch.setattr(bigrams, "COUNTED", 2_000)
+    monkeypatch.setattr(bigrams, "SCORED", 1_500)
+    monkeypatch.setattr(bigrams, "HOT", 5)
+    monkeypatch.setattr(bigrams, "HOT_PAIRS", 5)
+    other = bigrams.score(docs.repartition(5, "text")).collect()
+    order = lambda found: sorted((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in found)
+    assert all(a[:3] == b[:3] and np.allclose(a[3:], b[3:], rtol=1e-9) for a, b in zip(order(one), order(other), strict=True))
+    keys = bigrams.word_keys
+    monkeypatch.setattr(bigrams, "word_keys", lambda words, seed: keys(words, seed) // ((1 << 56) if seed == 42 else 1))
+    assert bigrams.count_pairs(docs.select("text", F.lit(False).alias("held_out")))[1] == 43
+
+
 def test_blocks_seat_like_single_customers():
     """The mean number of tables of large counts is within one per cent of that of seating one at a time."""
     for count, share in ((3000, 0.02), (20_000, 0.001), (20_000, 0.3)):
