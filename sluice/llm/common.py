@@ -35,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written once as a Parquet table in the shared folder and read from there.
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """(`df`, written once as a Parquet table in the shared folder and read from there; its path).
 
     The files outlive any executor, so what follows never goes back before them. They go when the application ends."""
     spark = df.sparkSession
@@ -44,7 +44,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return stored_at(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a stored table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ascii_lower(text: Column) -> Column:
