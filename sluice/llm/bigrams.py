@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, removed, stored_at
-from .lm import COUNTED, HOT, ROUNDS, SAMPLES, SCORED, STRENGTH, SWEEPS, Totals, held_out, mixed, seat, tokens  # noqa: F401
+from .lm import HOT, ROUNDS, SAMPLES, SCORED, STRENGTH, SWEEPS, Totals, held_out, mixed, seat, tokens  # noqa: F401
 
 #: Unused since no word or pair is broadcast, as are HOT and SCORED; tests that vary the layout set them.
 HOT_PAIRS = 1 << 18
+#: Bytes of text in a block.
+COUNTED = 8_000_000
 #: Bytes of text for each part of words and of pairs; at least spark.sql.shuffle.partitions parts are made.
 PART = 48_000_000
 MESSAGES = "side string, to long, kind int, source long, data binary"
@@ -156,7 +158,7 @@ class Tables:
 
     def sums(self, name: str) -> np.ndarray:
         """The sum of the numbers that each receiver sent to the driver."""
-        return sum((unpack(bytes(r["data"]))[0] for r in self.of(name, "sum").select("data").toLocalIterator()), np.zeros(1))
+        return sum((unpack(bytes(r["data"]))[0] for r in self.of(name, "sum").select("data").collect()), np.zeros(1))
 
     def remove(self, *names: str) -> None:
         for name in names:
@@ -282,10 +284,10 @@ def _words(held: Held) -> dict:
     return {"keys": keys, "c": c, "many": many, "tables": tables, "m": m, "up": up, "lists": lists}
 
 
-def _add_up(sweep: int, last: Totals | None, all_names: bool) -> Callable[[int, Held], Iterator[Message]]:
+def _add_up(sweep: int, last: Totals | None, all_names: bool, told: bool) -> Callable[[int, Held], Iterator[Message]]:
     """A part of words after a sweep: its customers in the parent seated anew, and tables, m and up of the words that each part of pairs named, of those in pairs that move or of all.
 
-    Before the first sweep, -1, nothing is seated, and keys are told; with all names, customers."""
+    Before the first sweep, -1, nothing is seated. With all names, customers are added; keys where they are told."""
 
     def run(w: int, held: Held) -> Iterator[Message]:
         x = _words(held)
@@ -298,7 +300,7 @@ def _add_up(sweep: int, last: Totals | None, all_names: bool) -> Callable[[int,
         yield "sum", 0, 0, w, pack(np.concatenate([m.sum(axis=0), up.sum(axis=0), [(x["many"] == 1).sum(), (x["many"] == 2).sum()]]))
         for p, (before, moves, word, move) in x["lists"].items():
             b, o = (before, word) if all_names else (before[moves], word[move])
-            yield "part", p, VALUES, w, pack(*tables[b].T, *m[o].T, *up[o].T, *([c[b]] if all_names else []), *([keys[b], keys[o]] if sweep < 0 or all_names else []))
+            yield "part", p, VALUES, w, pack(*tables[b].T, *m[o].T, *up[o].T, *([c[b]] if all_names else []), *([keys[b], keys[o]] if told else []))
 
     return run
 
@@ -308,7 +310,9 @@ def _values(held: Held, n: int) -> list[np.ndarray]:
 
 
 def _seat_pairs(last: Totals, sweep: int, parts: int) -> Callable[[int, Held], Iterator[Message]]:
-    """A part of pairs after all customers of each pair that moves have been seated anew, given the tables of all others; the tables beyond one, added up, to the parts of words."""
+    """A part of pairs after all customers of each pair that moves have been seated anew, given the tables of all others; the tables beyond one, added up, to the parts of words.
+
+    After the last sweep only the tables are kept."""
 
     def run(p: int, held: Held) -> Iterator[Message]:
         if sweep:
@@ -331,7 +335,7 @@ def _seat_pairs(last: Totals, sweep: int, parts: int) -> Callable[[int, Held], I
             after.append(seat(c, share, np.maximum(tables - t[s], 0), last.discounts[0], mixed(entry + np.uint64((1 + sweep * SAMPLES + s) << 32))).astype(np.int64))
             for i, (names, at, _) in enumerate(sides):
                 more[i].append(np.bincount(at, after[-1] - 1, len(names)).astype(np.int64))
-        yield "part", p, MOVED, 0, pack(*_halves(pairs), c, entry, *after)
+        yield "part", p, MOVED, 0, pack(*after) if sweep == ROUNDS * SWEEPS - 1 else pack(*_halves(pairs), c, entry, *after)
         for w in range(parts):
             (b0, b1), (o0, o1) = (x[2][w : w + 2] for x in sides)
             if b1 > b0 or o1 > o0:
@@ -344,7 +348,7 @@ def _tables(held: Held) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pairs of a part, c, tables in each sample) after the sweeps."""
     before, word, c = held[PAIRS][0][1]
     t = np.repeat((c > 0)[:, None], SAMPLES, axis=1).astype(np.int64)
-    t[c > 1] = np.stack(held[MOVED][0][1][4:], axis=1)
+    t[c > 1] = np.stack(held[MOVED][0][1], axis=1)
     return _whole(before, word), c, t
 
 
@@ -410,23 +414,25 @@ def count_pairs(texts: DataFrame, first: int = 42) -> tuple[Pairs, int]:
     return Pairs(tables, parts, n, known), seed
 
 
-def _seating(pairs: Pairs) -> Totals | None:
-    """The totals after all sweeps, whose tables are stored under "seated" and "added"; None without training texts."""
-    x, parts = pairs.tables, pairs.parts
+def _seating(pairs: Pairs, told: bool = False) -> Totals | None:
+    """The totals after all sweeps, whose tables are stored under "seated" and "added", with keys where they are told; None without training texts."""
+    x, parts, sweeps = pairs.tables, pairs.parts, ROUNDS * SWEEPS
     if not pairs.known:
         return None
     x.store("merged", _step([x.of("blocks", "part")], parts, _merge(parts)))
     known = [x.of("known", "word"), x.of("merged", "word")]
-    x.store("added", _step(known, parts, _add_up(-1, None, False)))
+    x.store("added", _step(known, parts, _add_up(-1, None, False, True)))
     of = lambda a, b: float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a else 0.5
-    discounts = of(*x.sums("merged")), of(*x.sums("added")[2 * SAMPLES :])
-    totals = lambda: Totals(np.array([pairs.n]), x.sums("added")[None, :SAMPLES], x.sums("added")[SAMPLES : 2 * SAMPLES], discounts, pairs.known)
-    for sweep in range(ROUNDS * SWEEPS):
-        last = totals()
+    sums = x.sums("added")
+    discounts = of(*x.sums("merged")), of(*sums[2 * SAMPLES :])
+    for sweep in range(sweeps):
+        last = Totals(np.array([pairs.n]), sums[None, :SAMPLES], sums[SAMPLES : 2 * SAMPLES], discounts, pairs.known)
         held = x.of("seated", "part") if sweep else x.of("merged", "part")
         x.store("seated", _step([held, x.of("added", "part")], parts, _seat_pairs(last, sweep, parts)))
-        x.store("added", _step([*known, x.of("added", "word"), x.of("seated", "word")], parts, _add_up(sweep, last, sweep == ROUNDS * SWEEPS - 1)))
-    return totals()
+        final = sweep == sweeps - 1
+        x.store("added", _step([*known, x.of("added", "word"), x.of("seated", "word")], parts, _add_up(sweep, last, final, final and told)))
+        sums = x.sums("added")
+    return Totals(np.array([pairs.n]), sums[None, :SAMPLES], sums[SAMPLES : 2 * SAMPLES], discounts, pairs.known)
 
 
 def sample_seating(pairs: Pairs) -> tuple[DataFrame, DataFrame, Totals] | None:
@@ -434,7 +440,7 @@ def sample_seating(pairs: Pairs) -> tuple[DataFrame, DataFrame, Totals] | None:
 
     The words' table: key; c, which are also the customers of the word's own restaurant; tables, of that restaurant; m, up, the word's customers
     and tables in the parent. Of the totals, tables has one row with the customers of the parent."""
-    last = _seating(pairs)
+    last = _seating(pairs, told=True)
     if last is None:
         return None
     x, parts = pairs.tables, pairs.parts
@@ -468,6 +474,7 @@ def score(docs: DataFrame) -> DataFrame:
     x, parts, last = pairs.tables, pairs.parts, _seating(pairs)
     inputs = [x.of("blocks", "block")]
     if last is not None:
+        x.remove("known")
         x.store("scores", _step([x.of("blocks", "part"), x.of("merged", "part"), x.of("seated", "part"), x.of("added", "part")], parts, _score_pairs(last, parts)))
         inputs.append(x.of("scores", "block"))
     x.remove("known", "merged", "seated", "added")

@@ -560,6 +560,24 @@ def test_scores_of_pairs_are_the_same_in_any_layout(spark, docs, monkeypatch):
     assert bigrams.count_pairs(docs.select("text", F.lit(False).alias("held_out")))[1] == 43
 
 
+def test_pairs_go_as_packed_arrays_and_spent_tables_are_removed(spark):
+    """What scoring leaves in the shared folder: a few bytes for each token, and none of the tables of the sweeps."""
+    import pathlib
+    from urllib.parse import urlparse
+
+    from sluice.llm.common import shared_dir
+
+    rng = random.Random(5)
+    made = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    frame = spark.createDataFrame([(i, " ".join(rng.choices(made, [1 / (k + 1) for k in range(3000)], k=200))) for i in range(400)], "doc_id long, text string")
+    top = pathlib.Path(urlparse(shared_dir(spark)).path)
+    before = {x.name for x in top.iterdir()}
+    n = bigrams.score(frame).agg(F.sum("n_tokens")).first()[0]
+    new = [x for x in top.iterdir() if x.name not in before]
+    assert n == 400 * 201 and len(new) <= 2
+    assert sum(f.stat().st_size for x in new for f in x.rglob("part-*")) < 16 * n
+
+
 def test_blocks_seat_like_single_customers():
     """The mean number of tables of large counts is within one per cent of that of seating one at a time."""
     for count, share in ((3000, 0.02), (20_000, 0.001), (20_000, 0.3)):
